@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op1_harmonic_packing
+from .pii import op8_pii_deobfuscation
 from .quality_rules import op10_quality_rules
 from .secrets import op2_secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_harmonic_packing, op2_secret_scan, op10_quality_rules)
+    own = (op1_harmonic_packing, op2_secret_scan, op8_pii_deobfuscation, op10_quality_rules)
     return {f.__name__: f for f in own}
 
 
