@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op1_harmonic_packing
 from .pii import op8_pii_deobfuscation
+from .quality_mil import op6_attention_quality
 from .quality_rules import op10_quality_rules
 from .secrets import op2_secret_scan
+from .toxicity import op5_compression_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_harmonic_packing, op2_secret_scan, op8_pii_deobfuscation, op10_quality_rules)
+    own = (op1_harmonic_packing, op2_secret_scan, op5_compression_toxicity, op6_attention_quality, op8_pii_deobfuscation, op10_quality_rules)
     return {f.__name__: f for f in own}
 
 
