@@ -50,6 +50,11 @@ def _words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def _marks(word: bytes) -> list[bytes]:
+    """A word as a whole, and its beginnings of four to six bytes."""
+    return [b" %b " % word, *(b" " + word[:k] for k in range(4, min(7, len(word))))]
+
+
 def _windows(words: list[bytes], size: int) -> list[bytes]:
     return [b" %b " % b" ".join(words[i : i + size]) for i in range(0, len(words), size)] or [b""]
 
@@ -68,11 +73,14 @@ def _pair(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zsta
 
 def _features(words: list[bytes], ordinary: bytes, toxic: bytes, window: int) -> list[float]:
     plain, both = (c.compress for c in _pair(ordinary, toxic))
-    gain = np.array([len(plain(w)) - len(both(w)) for w in _windows(words, window)], float)
+    windows = _windows(words, window)
+    alone = [len(plain(w)) for w in windows]
+    gain = np.array([a - len(both(w)) for a, w in zip(alone, windows)], float)
+    ratio = sum(alone) / max(1, sum(map(len, windows)))
     n, top = len(gain), np.sort(gain)[::-1][:3]
     counts = [(gain >= k).sum() for k in CUTS]
     base = [top[0], top.mean(), gain.mean(), *(c / n for c in counts)]
-    return [*base, *(math.log1p(c) for c in counts), math.log1p(n), 1 / math.sqrt(n), *(b / math.sqrt(n) for b in base), *(b * b for b in base)]
+    return [*base, *(math.log1p(c) for c in counts), math.log1p(n), 1 / math.sqrt(n), *(b / math.sqrt(n) for b in base), *(b * b for b in base), ratio, *(b * ratio for b in base)]
 
 
 def _train(size: int, samples: list[bytes], segment: int) -> bytes:
@@ -83,28 +91,36 @@ def _train(size: int, samples: list[bytes], segment: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, window: int = 8, ordinary_size: int = 16384, toxic_size: int = 800, strongest: int = 300, train_windows: int = 60_000) -> ToxicityModel:
+def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, window: int = 8, ordinary_size: int = 16384, toxic_size: int = 400, strongest: int = 300, deviations: float = 3.0, purity: float = 5.0, train_windows: int = 60_000) -> ToxicityModel:
     """Trains on ``(text, label)``; ``counts``: how many rows have each label in all."""
     texts = [(_words(t), y) for t, y in sample]
     y = np.array([y for _, y in texts], float)
     if not 0 < y.sum() < len(y):
         return ToxicityModel(constant=float(y[0]) if len(y) else 0.0)
-    # A word's contexts are the words before it, so that copies of a text count once.
+    # A word's contexts are the words before it, so that copies of a text count once. Beginnings of words count
+    # beside whole words, for stems that take many endings.
     pairs: tuple[set, set] = (set(), set())
     for words, label in texts:
         bare = [w.strip(EDGES) for w in words]
         pairs[label].update(zip([b"", *bare], bare))
-    seen = [Counter(w for _, w in p) for p in pairs]
+    seen = [Counter(x for _, w in p for x in _marks(w)) for p in pairs]
     size = [max(1, len(p)) for p in pairs]
-    excess = lambda w: (seen[1][w] - 3 * math.sqrt(seen[1][w])) / size[1] - 2 * (seen[0][w] + 2 * math.sqrt(seen[0][w] + 1)) / size[0]
+    excess = lambda w: (seen[1][w] - deviations * math.sqrt(seen[1][w])) / size[1] - purity * (seen[0][w] + 2 * math.sqrt(seen[0][w] + 1)) / size[0]
     marked = sorted((w for w, n in seen[1].items() if w and n >= 10 and excess(w) > 0), key=lambda w: (excess(w), w))
+    # A beginning stays if no longer mark, and no single word, accounts for most of it.
+    most = Counter()
+    for word, n in seen[1].items():
+        for shorter in _marks(word.strip())[1:] if word.endswith(b" ") else [word[:-1]]:
+            if shorter != word:
+                most[shorter] = max(most[shorter], n)
+    marked = [m for m in marked if m.endswith(b" ") or most[m] <= 0.6 * seen[1][m]]
     known = set(marked)
-    spans = [b" %b " % w for words, label in texts if label for w in (x.strip(EDGES) for x in words) if w in known]
+    spans = [b" %b " % w for words, label in texts if label for w in (x.strip(EDGES) for x in words) if not known.isdisjoint(_marks(w))]
     ordinary_windows = [w for words, label in texts if not label for w in _windows(words, window) if w]
     step = max(1, math.ceil(len(ordinary_windows) / train_windows))
     ordinary = _train(ordinary_size, ordinary_windows[::step] or [b" "], 64)
     # The trainer cuts strings at its segment length; the strongest follow whole, the very strongest last.
-    toxic = _train(toxic_size, spans or [b" "], 16)[-toxic_size:] + b"".join(b" " + w for w in marked[-strongest:]) + b" "
+    toxic = _train(toxic_size, spans or [b" "], 16)[-toxic_size:] + b"".join(marked[-strongest:]) + b" "
     raw = np.array([_features(words, ordinary, toxic, window) for words, _ in texts])
     mean, scale = raw.mean(0), raw.std(0) + 1e-9
     x = np.c_[(raw - mean) / scale, np.ones(len(raw))]
