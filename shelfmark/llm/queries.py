@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontamination
+from .decontamination import op3_containment_search
 from .packing import op1_harmonic_packing
 from .pii import op8_pii_deobfuscation
 from .quality_mil import op6_attention_quality
@@ -15,9 +17,9 @@ from .toxicity import op5_compression_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_harmonic_packing, op2_secret_scan, op5_compression_toxicity, op6_attention_quality, op8_pii_deobfuscation, op10_quality_rules)
+    own = (op1_harmonic_packing, op2_secret_scan, op3_containment_search, op5_compression_toxicity, op6_attention_quality, op8_pii_deobfuscation, op10_quality_rules)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_containment_search": decontamination.ORACLE}
