@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination
+from . import decontamination, jaccard_join
 from .decontamination import op3_containment_search
+from .jaccard_join import op9_jaccard_join
 from .packing import op1_harmonic_packing
 from .pii import op8_pii_deobfuscation
 from .quality_mil import op6_attention_quality
@@ -17,9 +18,9 @@ from .toxicity import op5_compression_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_harmonic_packing, op2_secret_scan, op3_containment_search, op5_compression_toxicity, op6_attention_quality, op8_pii_deobfuscation, op10_quality_rules)
+    own = (op1_harmonic_packing, op2_secret_scan, op3_containment_search, op5_compression_toxicity, op6_attention_quality, op8_pii_deobfuscation, op9_jaccard_join, op10_quality_rules)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_containment_search": decontamination.ORACLE}
+    return {"op3_containment_search": decontamination.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
