@@ -15,10 +15,12 @@ from .quality_mil import op6_attention_quality
 from .quality_rules import op10_quality_rules
 from .secrets import op2_secret_scan
 from .toxicity import op5_compression_toxicity
+from .url_filter import op4_url_templates
+from .warc import op7_warc_derivatives
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_harmonic_packing, op2_secret_scan, op3_containment_search, op5_compression_toxicity, op6_attention_quality, op8_pii_deobfuscation, op9_jaccard_join, op10_quality_rules)
+    own = (op1_harmonic_packing, op2_secret_scan, op3_containment_search, op4_url_templates, op5_compression_toxicity, op6_attention_quality, op7_warc_derivatives, op8_pii_deobfuscation, op9_jaccard_join, op10_quality_rules)
     return {f.__name__: f for f in own}
 
 
