@@ -31,8 +31,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise, own_name, read_table
+from .common import materialise, own_name, read_table, small_batches
 from .shingles import shingle_set, words_of
 
 DOC, ENTRY, PAIR = 0, 1, 2
@@ -42,11 +43,21 @@ def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
+def _rows(batches: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tuple]:
+    """The rows of the batches, of which only ``chunk`` are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, chunk):
+            yield from zip(*(c.slice(at, chunk).to_pylist() for c in batch.columns))
+
+
 class Bitmap:
-    """A bounded filter for 64-bit ids: never false for an id that it was built from."""
+    """A bounded filter for 64-bit ids: never false for an id that it was built from.
+
+    ``hashed``: the ids are hashes themselves, so their low bits are their places.
+    """
 
-    def __init__(self, ids: DataFrame, col: str, most_bits: int = 1 << 28) -> None:
-        n = ids.count()
+    def __init__(self, ids: DataFrame, col: str, hashed: bool = False, most_bits: int = 1 << 28) -> None:
+        n, self.hashed = ids.count(), hashed
         self.bits = min(most_bits, max(1 << 15, 1 << (16 * n).bit_length()))
         at = self.position(F.col(col)) + 1
         rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
@@ -56,7 +67,7 @@ class Bitmap:
         self.held = ids.sparkSession.sparkContext.broadcast(data)
 
     def position(self, id_col: Column) -> Column:
-        return F.xxhash64(id_col).bitwiseAND(F.lit(self.bits - 1))
+        return (id_col if self.hashed else F.xxhash64(id_col)).bitwiseAND(F.lit(self.bits - 1))
 
     def may_hold(self, id_col: Column) -> Column:
         held = self.held
@@ -82,14 +93,13 @@ def _frequent(docs: DataFrame, text_col: str, bits: int, above: int, most: int)
             once = [(k, v[c == 1].tobytes(), b"") for k, v, c in rows] + [(k, v[c > 1].tobytes(), c[c > 1].astype("<u4").tobytes()) for k, v, c in rows]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in once], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "tokens", "counts"])
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = shingle_set(words_of(text)) >> np.uint64(32 - bits)
-                held.append(own)
-                size += len(own)
-                if size > 1 << 21:
-                    yield out()
-                    held, size = [], 0
+        for (text,) in _rows(batches):
+            own = shingle_set(words_of(text)) >> np.uint64(32 - bits)
+            held.append(own)
+            size += len(own)
+            if size > 1 << 20:
+                yield out()
+                held, size = [], 0
         if size:
             yield out()
 
@@ -128,7 +138,7 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
     Entries stay only in lists of two sets or more. ``DOC``: ``id, a`` (set, null if empty), ``n``. ``ENTRY``:
     ``token, a, n, place``. ``PAIR``: ``a, b``.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    id_type, id_arrow = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     held = docs.sparkSession.sparkContext.broadcast(frequent)
     shift = np.uint64(32 - bits)
 
@@ -138,7 +148,6 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
         entries: list[tuple] = []
         docs_: list[tuple] = []
         size = round_ = 0
-        kind = None
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal round_
@@ -155,24 +164,22 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
                         rows.append((k, *(p.tobytes() for p in parts), []))
             rows.append((round_ % (1 << bits), b"", np.array([d[1] for d in docs_], np.int64).tobytes(), np.array([d[2] for d in docs_], np.uint32).tobytes(), b"", [d[0] for d in docs_]))
             round_ += 1
-            types = (pa.int32(), *[pa.binary()] * 4, pa.list_(kind))
+            types = (pa.int32(), *[pa.binary()] * 4, pa.list_(id_arrow))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["part", "token", "a", "n", "place", "ids"])
 
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = shingle_set(words_of(text))
-                n = len(own)
-                node = _node(own) if n else 0
-                docs_.append((row, node, n))
-                if n and node not in seen:
-                    seen.add(node)
-                    prefix = _ordered(own, tokens_often, n_often, shift)[: n - (percent * n + 99) // 100 + 1]
-                    entries.append((prefix, node, n))
-                    size += len(prefix)
-                if size > 1 << 19 or len(docs_) >= 20_000:
-                    yield from out()
-                    entries, docs_, size = [], [], 0
+        for row, text in _rows(batches):
+            own = shingle_set(words_of(text))
+            n = len(own)
+            node = _node(own) if n else 0
+            docs_.append((row, node, n))
+            if n and node not in seen:
+                seen.add(node)
+                prefix = _ordered(own, tokens_often, n_often, shift)[: n - (percent * n + 99) // 100 + 1].copy()
+                entries.append((prefix, node, n))
+                size += len(prefix)
+            if size > 1 << 18 or len(docs_) >= 20_000:
+                yield from out()
+                entries, docs_, size = [], [], 0
         if docs_:
             yield from out()
 
@@ -224,28 +231,28 @@ def _may_link(n1, place1, n2, place2, percent: int):
 
 def _sets(docs: DataFrame, text_col: str, wanted: Bitmap) -> DataFrame:
     """``a, tokens``: the sets that the bitmap may hold, as packed hashes, once each."""
+    held, mask = wanted.held, wanted.bits - 1
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 256):
+            for at in range(0, batch.num_rows, 256):
                 rows = []
-                for text in texts[at : at + 256]:
+                for text in batch.column(0).slice(at, 256).to_pylist():
                     own = shingle_set(words_of(text))
-                    if len(own) and (node := _node(own)) not in seen:
+                    if len(own) and (node := _node(own)) not in seen and held.value[(node & mask) >> 3] >> (node & 7) & 1:
                         seen.add(node)
                         rows.append((node, own.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["a", "tokens"])
 
-    made = docs.select(text_col).mapInArrow(build, "a long, tokens binary")
-    return made.where(wanted.may_hold(F.col("a"))).dropDuplicates(["a"])
+    return docs.select(text_col).mapInArrow(build, "a long, tokens binary").dropDuplicates(["a"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) -> DataFrame:
     """The pairs of sets whose similarity, computed from the whole sets, is enough."""
-    wanted = Bitmap(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "a")
-    sets = materialise(_sets(docs, text_col, wanted), "join-sets")
+    wanted = Bitmap(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "a", hashed=True)
+    with small_batches(docs.sparkSession):
+        sets = materialise(_sets(docs, text_col, wanted), "join-sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -293,9 +300,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.count()
-    bits = max(5, math.ceil(math.log2(max(1, rows / 4096))))
-    frequent = _frequent(docs, text_col, bits, frequent_above, most_frequent)
-    index = materialise(_index(docs, id_col, text_col, percent, bits, frequent), "join-index")
+    bits = max(5, math.ceil(math.log2(max(1, rows / 1024))))
+    with small_batches(docs.sparkSession):
+        frequent = _frequent(docs, text_col, bits, frequent_above, most_frequent)
+        index = materialise(_index(docs, id_col, text_col, percent, bits, frequent), "join-index")
     compared = materialise(index.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-first")
     edges = materialise(_verified(compared, docs, text_col, percent), "join-links")
     known = components(edges)
