@@ -3,9 +3,9 @@
 Two zstandard dictionaries are trained: one on windows of ordinary text, one on the toxic material of toxic text
 (words that stand in significantly more contexts there than in ordinary text). A window that gets shorter when
 the toxic dictionary joins the ordinary one holds toxic material. Both dictionaries share the ordinary part, so
-ordinary windows compress alike and the difference is nearly free of noise. A document's window differences give
-a few figures (largest, mean, shares and counts above several cuts) whose logistic weights and threshold are
-calibrated on the same labelled sample.
+ordinary windows compress alike and the difference is nearly free of noise. A document's window differences, for
+windows of several sizes, give a few figures (largest, mean, shares and counts above several cuts), whose
+logistic weights and threshold are calibrated on the same labelled sample.
 
 Only that sample, bounded by parameters, comes to the driver. Scoring is a projection over whole texts.
 """
@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ class ToxicityModel:
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    window: int = 8
+    windows: tuple[int, ...] = (6, 12, 18)
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
@@ -60,7 +61,7 @@ def _windows(words: list[bytes], size: int) -> list[bytes]:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(1, min_match=4, strategy=zstandard.STRATEGY_GREEDY, window_log=17, hash_log=14, chain_log=14, search_log=4, write_content_size=0, write_checksum=0, write_dict_id=0)
+    params = zstandard.ZstdCompressionParameters.from_level(1, min_match=4, strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=15, chain_log=15, search_log=6, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
@@ -71,7 +72,11 @@ def _pair(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zsta
     return _compressor(ordinary), _compressor(ordinary + toxic)
 
 
-def _features(words: list[bytes], ordinary: bytes, toxic: bytes, window: int) -> list[float]:
+def _features(words: list[bytes], ordinary: bytes, toxic: bytes, sizes: tuple[int, ...]) -> list[float]:
+    return [x for size in sizes for x in _figures(words, ordinary, toxic, size)]
+
+
+def _figures(words: list[bytes], ordinary: bytes, toxic: bytes, window: int) -> list[float]:
     plain, both = (c.compress for c in _pair(ordinary, toxic))
     windows = _windows(words, window)
     alone = [len(plain(w)) for w in windows]
@@ -91,42 +96,60 @@ def _train(size: int, samples: list[bytes], segment: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, window: int = 8, ordinary_size: int = 16384, toxic_size: int = 400, strongest: int = 300, deviations: float = 3.0, purity: float = 5.0, train_windows: int = 60_000) -> ToxicityModel:
+def _contexts(texts: Iterable[bytes]) -> tuple[int, dict[bytes, int]]:
+    """In how many contexts each word stands, and the sum of that."""
+    ids: dict[bytes, int] = {b"": 0}
+    pairs = []
+    for text in texts:
+        own = np.array([ids.setdefault(w.strip(EDGES), len(ids)) for w in text.split()], np.uint64)
+        pairs.append(np.r_[np.uint64(0), own[:-1]][: len(own)] << np.uint64(32) | own)
+    found = np.unique(np.concatenate(pairs))
+    counts = np.bincount((found & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(ids))
+    return max(1, len(found)), dict(zip(ids, counts.tolist()))
+
+
+def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, windows: tuple[int, ...] = (6, 12, 18), ordinary_size: int = 16384, toxic_size: int = 400, strongest: int = 300, deviations: float = 3.0, purity: float = 5.0, train_windows: int = 60_000) -> ToxicityModel:
     """Trains on ``(text, label)``; ``counts``: how many rows have each label in all."""
-    texts = [(_words(t), y) for t, y in sample]
+    texts = [(t.encode().lower(), y) for t, y in sample]
     y = np.array([y for _, y in texts], float)
     if not 0 < y.sum() < len(y):
         return ToxicityModel(constant=float(y[0]) if len(y) else 0.0)
     # A word's contexts are the words before it, so that copies of a text count once. Beginnings of words count
     # beside whole words, for stems that take many endings.
-    pairs: tuple[set, set] = (set(), set())
-    for words, label in texts:
-        bare = [w.strip(EDGES) for w in words]
-        pairs[label].update(zip([b"", *bare], bare))
-    seen = [Counter(x for _, w in p for x in _marks(w)) for p in pairs]
-    size = [max(1, len(p)) for p in pairs]
-    excess = lambda w: (seen[1][w] - deviations * math.sqrt(seen[1][w])) / size[1] - purity * (seen[0][w] + 2 * math.sqrt(seen[0][w] + 1)) / size[0]
-    marked = sorted((w for w, n in seen[1].items() if w and n >= 10 and excess(w) > 0), key=lambda w: (excess(w), w))
+    (toxic_size_, toxic_words), (ordinary_size_, ordinary_words) = (_contexts(t for t, label in texts if label == own) for own in (1, 0))
+    seen = Counter()
+    for word, n in toxic_words.items():
+        for mark in _marks(word):
+            seen[mark] += n
+    seen = {mark: n for mark, n in seen.items() if n >= 10 and mark.strip()}
+    plain = dict.fromkeys(seen, 0)
+    for word, n in ordinary_words.items():
+        for mark in _marks(word):
+            if mark in plain:
+                plain[mark] += n
+    del ordinary_words
+    excess = lambda m: (seen[m] - deviations * math.sqrt(seen[m])) / toxic_size_ - purity * (plain[m] + 2 * math.sqrt(plain[m] + 1)) / ordinary_size_
+    marked = sorted((m for m in seen if excess(m) > 0), key=lambda m: (excess(m), m))
     # A beginning stays if no longer mark, and no single word, accounts for most of it.
     most = Counter()
-    for word, n in seen[1].items():
-        for shorter in _marks(word.strip())[1:] if word.endswith(b" ") else [word[:-1]]:
-            if shorter != word:
+    for mark, n in seen.items():
+        for shorter in _marks(mark.strip())[1:] if mark.endswith(b" ") else [mark[:-1]]:
+            if shorter != mark:
                 most[shorter] = max(most[shorter], n)
-    marked = [m for m in marked if m.endswith(b" ") or most[m] <= 0.6 * seen[1][m]]
+    marked = [m for m in marked if m.endswith(b" ") or most[m] <= 0.6 * seen[m]]
     known = set(marked)
-    spans = [b" %b " % w for words, label in texts if label for w in (x.strip(EDGES) for x in words) if not known.isdisjoint(_marks(w))]
-    ordinary_windows = [w for words, label in texts if not label for w in _windows(words, window) if w]
-    step = max(1, math.ceil(len(ordinary_windows) / train_windows))
-    ordinary = _train(ordinary_size, ordinary_windows[::step] or [b" "], 64)
+    spans = [b" %b " % w for text, label in texts if label for w in (x.strip(EDGES) for x in text.split()) if not known.isdisjoint(_marks(w))]
+    total = sum(text.count(b" ") + 1 for text, label in texts if not label) // windows[0] + 1
+    ordinary_windows = islice((w for text, label in texts if not label for w in _windows(text.split(), windows[0]) if w), 0, None, math.ceil(total / train_windows))
+    ordinary = _train(ordinary_size, list(ordinary_windows) or [b" "], 64)
     # The trainer cuts strings at its segment length; the strongest follow whole, the very strongest last.
     toxic = _train(toxic_size, spans or [b" "], 16)[-toxic_size:] + b"".join(marked[-strongest:]) + b" "
-    raw = np.array([_features(words, ordinary, toxic, window) for words, _ in texts])
+    raw = np.array([_features(text.split(), ordinary, toxic, windows) for text, _ in texts])
     mean, scale = raw.mean(0), raw.std(0) + 1e-9
     x = np.c_[(raw - mean) / scale, np.ones(len(raw))]
     weight = class_weights(y, counts)
     w = logistic(x, y, weight)
-    return ToxicityModel(ordinary, toxic, window, tuple(mean), tuple(scale), tuple(w), best_cut(x @ w, y, weight))
+    return ToxicityModel(ordinary, toxic, windows, tuple(mean), tuple(scale), tuple(w), best_cut(x @ w, y, weight))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, positives: int = 1200, negatives: int = 3600, **options) -> ToxicityModel:
@@ -137,7 +160,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_text(text: str | None, model: ToxicityModel) -> float:
     if model.constant is not None:
         return model.constant
-    raw = np.array(_features(_words(text or ""), model.ordinary, model.toxic, model.window))
+    raw = np.array(_features(_words(text or ""), model.ordinary, model.toxic, model.windows))
     x = np.append((raw - model.mean) / model.scale, 1.0)
     return float(sigmoid(x @ model.weights - model.cut))
 
