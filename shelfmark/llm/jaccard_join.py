@@ -16,14 +16,15 @@ passages that many documents share head no prefix unless a document has little e
 over all documents; which of them are listed as frequent only affects speed.
 
 Every step is a shuffle by hash range, list, set or component. Sets with equal shingles are one set from the
-start. What is broadcast is bounded: at most ``most_frequent`` frequent shingles, and a bitmap of set ids that
-only saves shuffling. Shingles and sets are known by 64-bit hashes.
+start. What is broadcast is bounded: at most ``most_frequent`` frequent shingles, and bitmaps of at most 2 ** 28 bits
+that only save shuffling. Shingles and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -80,8 +81,26 @@ class Bitmap:
         return test(self.position(id_col))
 
 
-def _frequent(docs: DataFrame, text_col: str, bits: int, above: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles (their leading 32 + ``bits`` hash bits) that more than ``above`` rows have, at most ``most``, and in how many."""
+@dataclass
+class Counts:
+    """What the corpus says of its shingles, in bounded space.
+
+    ``tokens`` (leading 32 + ``bits`` hash bits) and ``n``: the frequent ones and how many rows have them.
+    ``repeated``: a bitmap by the leading ``places`` hash bits; where it is 0, no shingle is in two rows.
+    """
+
+    tokens: np.ndarray
+    n: np.ndarray
+    repeated: np.ndarray
+    places: int
+
+
+def _counts(docs: DataFrame, text_col: str, rows: int, bits: int, above: int, most: int) -> Counts:
+    """Counts every shingle of every row; ``above`` and ``most`` bound which are listed as frequent.
+
+    The bitmap has a bit for each shingle or so, up to 2 ** 28; beyond that it only tells less.
+    """
+    places = min(28, max(bits + 3, (512 * rows).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -89,9 +108,9 @@ def _frequent(docs: DataFrame, text_col: str, bits: int, above: int, most: int)
         def out() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             cuts = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32))
-            rows = [(k, v.astype("<u4"), c) for k, (v, c) in enumerate(zip(np.split(values, cuts), np.split(n, cuts))) if len(v)]
-            once = [(k, v[c == 1].tobytes(), b"") for k, v, c in rows] + [(k, v[c > 1].tobytes(), c[c > 1].astype("<u4").tobytes()) for k, v, c in rows]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in once], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "tokens", "counts"])
+            parts = [(k, v.astype("<u4"), c) for k, (v, c) in enumerate(zip(np.split(values, cuts), np.split(n, cuts))) if len(v)]
+            out_ = [(k, v[c == 1].tobytes(), b"") for k, v, c in parts] + [(k, v[c > 1].tobytes(), c[c > 1].astype("<u4").tobytes()) for k, v, c in parts if (c > 1).any()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out_], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "tokens", "counts"])
 
         for (text,) in _rows(batches):
             own = shingle_set(words_of(text)) >> np.uint64(32 - bits)
@@ -109,18 +128,34 @@ def _frequent(docs: DataFrame, text_col: str, bits: int, above: int, most: int)
         counts = [np.frombuffer(x, "<u4") if x else np.ones(len(t), "<u4") for x, t in zip(table.column("counts").to_pylist(), tokens)]
         values, where = np.unique(np.concatenate(tokens), return_inverse=True)
         n = np.bincount(where, np.concatenate(counts), len(values)).astype(np.int64)
+        marks = np.zeros(1 << (places - bits), np.uint8)
+        marks[values[n > 1] >> np.uint32(32 - places + bits)] = 1
         keep = n > above
-        return pa.table({"token": values[keep].astype(np.int64) + (part << 32), "n": n[keep]})
+        k = int(keep.sum())
+        return pa.table(
+            {
+                "part": pa.array([part] * (k + 1), pa.int32()),
+                "token": pa.array([*(values[keep].astype(np.int64) + (part << 32)).tolist(), None], pa.int64()),
+                "n": pa.array([*n[keep].tolist(), None], pa.int64()),
+                "marks": pa.array([None] * k + [np.packbits(marks, bitorder="little").tobytes()], pa.binary()),
+            }
+        )
 
     packed = docs.select(text_col).mapInArrow(count, "part int, tokens binary, counts binary")
-    found = packed.groupBy("part").applyInArrow(total, "token long, n long").orderBy(F.desc("n"), "token").limit(most).toArrow()
-    tokens, n = found.column("token").to_numpy().astype(np.uint64), found.column("n").to_numpy()
+    found = materialise(packed.groupBy("part").applyInArrow(total, "part int, token long, n long, marks binary"), "join-counts")
+    often = found.where("token is not null").select("token", "n").orderBy(F.desc("n"), "token").limit(most).toArrow()
+    tokens, n = often.column("token").to_numpy().astype(np.uint64), often.column("n").to_numpy()
     order = np.argsort(tokens)
-    return tokens[order], n[order]
+    repeated = np.zeros((1 << places) // 8, np.uint8)
+    slices = found.where("marks is not null").select("part", "marks").toArrow()
+    for part, marks in zip(slices.column("part").to_pylist(), slices.column("marks").to_pylist()):
+        size = len(marks)
+        repeated[part * size : (part + 1) * size] = np.frombuffer(marks, np.uint8)
+    return Counts(tokens[order], n[order], repeated, places)
 
 
 def _ordered(hashes: np.ndarray, tokens: np.ndarray, n: np.ndarray, shift: np.uint64) -> np.ndarray:
-    """A set in the common order."""
+    """A set in the common order: rare shingles by hash, then frequent ones by frequency."""
     if not len(tokens):
         return hashes
     key = hashes >> shift
@@ -132,18 +167,21 @@ def _ordered(hashes: np.ndarray, tokens: np.ndarray, n: np.ndarray, shift: np.ui
     return np.concatenate([hashes[~often], last[np.lexsort((last, n[at[often]]))]])
 
 
-def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int, counts: Counts) -> DataFrame:
     """One table of three kinds of rows: each row's set; the lists' entries; and the sets compared first.
 
-    Entries stay only in lists of two sets or more. ``DOC``: ``id, a`` (set, null if empty), ``n``. ``ENTRY``:
+    A list's sets are each compared first with the one of the earliest place, so what is kept as its entries are
+    the others, where there are two or more. Shingles of one row only are left out, as far as the bitmap tells.
+    ``DOC``: ``id, a`` (set, null if empty), ``n``. ``ENTRY``:
     ``token, a, n, place``. ``PAIR``: ``a, b``.
     """
     id_type, id_arrow = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
-    held = docs.sparkSession.sparkContext.broadcast(frequent)
+    held = docs.sparkSession.sparkContext.broadcast(counts)
     shift = np.uint64(32 - bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens_often, n_often = held.value
+        known = held.value
+        top = np.uint64(64 - known.places)
         seen: set[int] = set()
         entries: list[tuple] = []
         docs_: list[tuple] = []
@@ -156,7 +194,7 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
                 token = np.concatenate([e[0] for e in entries])
                 lengths = [len(e[0]) for e in entries]
                 order = np.argsort(token)
-                columns = (token, np.repeat(np.array([e[1] for e in entries], np.int64), lengths), np.repeat(np.array([e[2] for e in entries], np.uint32), lengths), np.concatenate([np.arange(k, dtype=np.uint32) for k in lengths]))
+                columns = (token, np.repeat(np.array([e[1] for e in entries], np.int64), lengths), np.repeat(np.array([e[2] for e in entries], np.uint32), lengths), np.concatenate([e[3] for e in entries]))
                 columns = [c[order] for c in columns]
                 cuts = np.searchsorted(columns[0], np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
                 for k, parts in enumerate(zip(*(np.split(c, cuts) for c in columns))):
@@ -174,9 +212,12 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
             docs_.append((row, node, n))
             if n and node not in seen:
                 seen.add(node)
-                prefix = _ordered(own, tokens_often, n_often, shift)[: n - (percent * n + 99) // 100 + 1].copy()
-                entries.append((prefix, node, n))
-                size += len(prefix)
+                prefix = _ordered(own, known.tokens, known.n, shift)[: n - (percent * n + 99) // 100 + 1]
+                at = prefix >> top
+                places = np.flatnonzero(known.repeated[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                if len(places):
+                    entries.append((prefix[places], node, n, places.astype(np.uint32)))
+                    size += len(places)
             if size > 1 << 18 or len(docs_) >= 20_000:
                 yield from out()
                 entries, docs_, size = [], [], 0
@@ -197,8 +238,9 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
         many = np.diff(np.r_[first, len(token)])
         hub = np.repeat(first, many)
-        shared = np.repeat(many, many) > 1
-        near = shared & (hub != np.arange(len(token))) & _may_link(n, place, n[hub], place[hub], percent)
+        is_hub = hub == np.arange(len(token))
+        shared = ~is_hub & (np.repeat(many, many) > 2)
+        near = ~is_hub & _may_link(n, place, n[hub], place[hub], percent)
         pairs = np.unique(np.stack([a[near], a[hub[near]]], 1), axis=0) if near.any() else np.zeros((0, 2), np.int64)
         e, p, d = int(shared.sum()), len(pairs), len(doc_a)
         nulls = lambda k, t: pa.nulls(k, t)
@@ -251,8 +293,7 @@ def _sets(docs: DataFrame, text_col: str, wanted: Bitmap) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) -> DataFrame:
     """The pairs of sets whose similarity, computed from the whole sets, is enough."""
     wanted = Bitmap(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "a", hashed=True)
-    with small_batches(docs.sparkSession):
-        sets = materialise(_sets(docs, text_col, wanted), "join-sets")
+    sets = _sets(docs, text_col, wanted)  # one shuffle by set id, which both joins use
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -302,10 +343,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.count()
     bits = max(5, math.ceil(math.log2(max(1, rows / 1024))))
     with small_batches(docs.sparkSession):
-        frequent = _frequent(docs, text_col, bits, frequent_above, most_frequent)
-        index = materialise(_index(docs, id_col, text_col, percent, bits, frequent), "join-index")
+        counts = _counts(docs, text_col, rows, bits, frequent_above, most_frequent)
+        index = materialise(_index(docs, id_col, text_col, percent, bits, counts), "join-index")
     compared = materialise(index.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-first")
-    edges = materialise(_verified(compared, docs, text_col, percent), "join-links")
+    with small_batches(docs.sparkSession):
+        edges = materialise(_verified(compared, docs, text_col, percent), "join-links")
     known = components(edges)
     # The lists that hold sets of several components; sets that link to nothing are their own.
     entries = index.where(F.col("kind") == ENTRY).select("token", "a", "n", "place").join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
@@ -316,7 +358,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = one.join(two, "token").where((F.col("a1") < F.col("a2")) & (F.col("component1") != F.col("component2")) & may).select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
     more = materialise(more.join(compared, ["a", "b"], "left_anti"), "join-more")
     if not more.isEmpty():
-        further = _verified(more, docs, text_col, percent)
+        with small_batches(docs.sparkSession):
+            further = materialise(_verified(more, docs, text_col, percent), "join-links")
         known = components(edges.unionByName(further))
     sets = index.where(F.col("kind") == DOC).select("id", "a", "n")
     by_set = sets.where("a is not null").groupBy("a").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
