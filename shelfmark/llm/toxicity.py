@@ -39,7 +39,7 @@ class ToxicityModel:
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    windows: tuple[int, ...] = (6, 12, 18)
+    windows: tuple[int, ...] = (8, 12, 16)
     mean: tuple[float, ...] = ()
     scale: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
@@ -61,7 +61,7 @@ def _windows(words: list[bytes], size: int) -> list[bytes]:
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(1, min_match=4, strategy=zstandard.STRATEGY_LAZY2, window_log=17, hash_log=15, chain_log=15, search_log=6, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
+    params = zstandard.ZstdCompressionParameters.from_level(1, min_match=4, strategy=zstandard.STRATEGY_LAZY, window_log=17, hash_log=15, chain_log=15, search_log=4, target_length=16, write_content_size=0, write_checksum=0, write_dict_id=0)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     held.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
@@ -108,7 +108,7 @@ def _contexts(texts: Iterable[bytes]) -> tuple[int, dict[bytes, int]]:
     return max(1, len(found)), dict(zip(ids, counts.tolist()))
 
 
-def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, windows: tuple[int, ...] = (6, 12, 18), ordinary_size: int = 16384, toxic_size: int = 400, strongest: int = 300, deviations: float = 3.0, purity: float = 5.0, train_windows: int = 60_000) -> ToxicityModel:
+def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, windows: tuple[int, ...] = (8, 12, 16), ordinary_size: int = 16384, toxic_size: int = 400, strongest: int = 300, deviations: float = 3.0, purity: float = 5.0, train_windows: int = 60_000) -> ToxicityModel:
     """Trains on ``(text, label)``; ``counts``: how many rows have each label in all."""
     texts = [(t.encode().lower(), y) for t, y in sample]
     y = np.array([y for _, y in texts], float)
