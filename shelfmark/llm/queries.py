@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join
+from . import decontamination, jaccard_join, secrets
 from .decontamination import op3_containment_search
 from .jaccard_join import op9_jaccard_join
 from .packing import op1_harmonic_packing
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_containment_search": decontamination.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}
+    return {"op2_secret_scan": secrets.ORACLE, "op3_containment_search": decontamination.ORACLE, "op9_jaccard_join": jaccard_join.ORACLE}

@@ -136,3 +136,34 @@ def drop_live_secrets(docs: DataFrame, text_col: str = "text", **options) -> Dat
     packed = own_name(docs, "row")
     scanned = scan_secrets(docs.withColumn(packed, F.struct(*docs.columns)), text_col, keep=[packed], **options)
     return scanned.where((F.col("n_live") == 0) & (F.size("owned") == 0)).select(f"{packed}.*")
+
+
+_KEYWORD = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_PATTERNS = (
+    ("assign", rf"""({_KEYWORD})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2),
+    ("access", "AKIA[A-Z0-9]{12,}", 0),
+    ("hex", "[0-9a-f]{32,}", 0),
+    ("owned", "[A-Za-z0-9+/_-]{20,}", 0),
+)
+_MATCHES = " UNION ALL ".join(f"SELECT r, source, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS v, regexp_extract_all(t, '{p}', {group}) AS g, string_split_regex(t, '{p}') AS gaps FROM d WHERE regexp_matches(t, '{p}')" for rank, (kind, p, group) in enumerate(_PATTERNS))
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+m AS ({_MATCHES}),
+e AS (
+  SELECT r, source, rank, kind, v[i] AS value, g[i] AS inside,
+         CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(range(1, len(v) + 1)) AS i FROM m)),
+s AS (
+  SELECT *, start + length(value) AS stop, sha256(inside) AS hash FROM e
+  WHERE CASE kind WHEN 'assign' THEN length(inside) >= 8 WHEN 'access' THEN length(value) >= 16 WHEN 'hex' THEN length(value) >= 32
+        ELSE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]') END),
+c AS (SELECT * FROM s WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM s b WHERE b.r = s.r AND b.rank < 3 AND b.start < s.stop AND s.start < b.stop)),
+o AS (SELECT hash, count(DISTINCT source) AS n FROM c GROUP BY hash),
+j AS (SELECT c.*, n, n < 3 AND NOT regexp_matches(inside, '{PLACEHOLDER}') AS live FROM c JOIN o USING (hash))
+SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3 OR live), '') AS spans,
+       count(*) FILTER (rank < 3 AND live) AS n_live, count(*) FILTER (rank < 3 AND n >= 3) AS n_example
+FROM d LEFT JOIN j USING (r) GROUP BY r, doc_id
+"""

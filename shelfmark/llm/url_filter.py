@@ -94,13 +94,13 @@ def learn_templates(urls: DataFrame, *, depth: int = 8, children: int = 30, shar
     it has less than ``share`` of the node's urls; so no more than ``max(children, 1 / share)`` are compared.
     Without labels every purity is 0.5, the smoothed rate of nothing. No urls, no templates.
     """
-    spark = urls.sparkSession
     counted = urls.groupBy("host", shape_of(F.col("path")).alias("shape")).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked"))
     tail = F.expr(f"array_join(slice(parts, {depth}, greatest(size(parts) - {depth - 1}, 1)), '/')")
     parts = counted.withColumn("parts", F.split(F.expr("substr(shape, 2)"), "/")).withColumn("parts", F.when(F.size("parts") > depth, F.concat(F.slice("parts", 1, depth - 1), F.array(tail))).otherwise(F.col("parts")))
-    total = counted.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).select(((F.coalesce("b", F.lit(0)) + 0.5 * smoothing) / (F.coalesce("l", F.lit(0)) + smoothing)).alias("prior"))
-    hosts = counted.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(total))
-    purity = hosts.select("host", ((F.col("b") + smoothing * F.col("prior")) / (F.col("l") + smoothing)).alias("purity"))
+    total = urls.agg(F.count("label").alias("l"), F.coalesce(F.sum("label"), F.lit(0)).alias("b")).first()
+    prior = (total["b"] + 0.5 * smoothing) / (total["l"] + smoothing)
+    hosts = counted.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    purity = hosts.select("host", ((F.col("b") + smoothing * prior) / (F.col("l") + smoothing)).alias("purity"))
     now = materialise(parts.join(purity, "host").withColumn("template", F.lit("")), "url-level")
     deepest = now.agg(F.max(F.size("parts"))).first()[0] or 0
     for level in range(deepest):
