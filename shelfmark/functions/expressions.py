@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import DATE_FORMATS, FALSE_WORDS, REGION_STATES, TRUE_WORDS
@@ -117,3 +117,9 @@ def any_difference(left: str, right: str, columns: list[str]) -> Column:
 def all_equal(left: str, right: str, columns: list[str]) -> Column:
     """Null-safe equality of columns of two aliased frames; Spark can still hash them."""
     return reduce(lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns))
+
+
+def beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two frames of one row each as one row: the other is a scalar subquery, not a join."""
+    row = other.select(F.struct("*")).scalar().alias("_row")
+    return one.select("*", row).select(*(F.col(c) for c in one.columns), "_row.*")

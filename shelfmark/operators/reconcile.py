@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import all_equal, any_difference
+from ..functions.expressions import all_equal, any_difference, beside
 from ..functions.fixed_values import UNKNOWN_KEY
 from ..plans.schemas import GRAINS
 from . import aggregates, scd2
@@ -18,7 +18,7 @@ from .dqmart import record_snapshot
 def count_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row with both counts if they differ."""
     left, right = a.agg(F.count("*").alias("n_left")), b.agg(F.count("*").alias("n_right"))
-    return left.crossJoin(F.broadcast(right)).where("n_left != n_right")  # one row each
+    return beside(left, right).where("n_left != n_right")
 
 
 def aggregate_difference(expected: DataFrame, actual: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
@@ -62,7 +62,7 @@ def gold_checks(silver: dict[str, DataFrame], quarantine: dict[str, DataFrame],
         "store": aggregate_difference(aggregates.store_daily(lines, gold["fact_invoice"]), aggs["agg_store_performance_daily"], GRAINS["agg_store_performance_daily"], [*aggregates.MEASURES, "invoice_count"]),
         "month_start": not_month_start(aggs["agg_product_performance_monthly"], gold["dim_date"]),
         "records_add_up": aggs["agg_data_quality_record_daily"].where("total_records != valid_records + incorrect_records"),
-        "issue_sum": aggs["agg_data_quality_daily"].agg(F.coalesce(F.sum("dq_issue_count"), F.lit(0)).alias("n")).crossJoin(F.broadcast(gold["fact_data_quality_issue"].agg(F.count("*").alias("m")))).where("n != m"),
+        "issue_sum": beside(aggs["agg_data_quality_daily"].agg(F.coalesce(F.sum("dq_issue_count"), F.lit(0)).alias("n")), gold["fact_data_quality_issue"].agg(F.count("*").alias("m"))).where("n != m"),
         "dq_population": _population(silver, quarantine, aggs["agg_data_quality_record_daily"]),
     }
     heads = silver["invoices"]

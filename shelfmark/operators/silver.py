@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import not_blank, ratio
+from ..functions.expressions import beside, not_blank, ratio
 from ..plans.schemas import LINEAGE, PARSED, RAW_KEPT, SOURCE, columns
-from .rules import CODES, Rule, add_codes, checked, unique_valid_ids, with_duplicates, with_reference
+from .rules import CODES, Rule, add_codes, checked, direct_rules, unique_valid_ids, with_duplicates, with_reference
 
 KEYS = {"customers": "customer_id", "products": "product_id", "stores": "store_id"}
 #: Codes that a row gets for another row's fault.
 CASCADE = ("INVALID_INVOICE_ITEM", "INVOICE_QUARANTINED_BY_BAD_HEADER_OR_ITEM")
 
 
+#: Codes of each entity beyond its direct rules, in the order in which they are added.
+ENTITY_CODES = {
+    "customers": ["DUPLICATE_CUSTOMER_ID"],
+    "products": ["DUPLICATE_PRODUCT_ID"],
+    "stores": ["DUPLICATE_STORE_ID"],
+    "invoices": ["INVALID_STORE_REFERENCE", "INVALID_CUSTOMER_REFERENCE", "DUPLICATE_INVOICE_ID", "NO_INVOICE_ITEMS", "INVALID_INVOICE_ITEM"],
+    "invoice_items": ["INVALID_PRODUCT_REFERENCE", "DUPLICATE_INVOICE_LINE", "INVALID_INVOICE_REFERENCE", "INVOICE_QUARANTINED_BY_BAD_HEADER_OR_ITEM"],
+}
+
+
+def all_codes(entity: str) -> list[str]:
+    """Every code that a row of the entity can get."""
+    return [r.code for r in direct_rules(entity)] + ENTITY_CODES[entity]
+
+
 def evaluate_dimension(df: DataFrame, entity: str) -> DataFrame:
     """Rows of customers, products or stores with all their codes."""
     key = KEYS[entity]
@@ -126,7 +141,7 @@ def impact_summary(headers: DataFrame, lines: DataFrame) -> DataFrame:
         F.count_if(F.size("_direct_codes") > 0).alias("direct_bad_items"),
         F.count_if((F.size("_direct_codes") == 0) & (F.size(CODES) > 0)).alias("cascaded_items"),
     )
-    both = h.crossJoin(F.broadcast(t))  # one row each
+    both = beside(h, t)
     pct = lambda a, b: (100 * ratio(a, b)).cast("decimal(18,4)")
     return both.select(
         "*",

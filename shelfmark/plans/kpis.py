@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import MONEY_SUM, ratio
+from ..functions.expressions import MONEY_SUM, beside, ratio
 
 def sums(*names: str) -> list[Column]:
     kinds = {"revenue": MONEY_SUM, "units_sold": "bigint", "gross_margin": MONEY_SUM, "invoice_count": "bigint"}
@@ -81,7 +81,7 @@ def trend(sales: DataFrame, dates: DataFrame, first: str, last: str) -> DataFram
 
 def active_stores(sales: DataFrame, store_dim: DataFrame) -> DataFrame:
     """Stores there are, whether they sold or not, and revenue for each of them."""
-    return store_dim.agg(F.count_distinct("store_key").alias("active_stores")).crossJoin(F.broadcast(sales.agg(*sums("revenue")))).withColumn("revenue_per_store", ratio("revenue", "active_stores", "decimal(20,6)"))  # one row each
+    return beside(store_dim.agg(F.count_distinct("store_key").alias("active_stores")), sales.agg(*sums("revenue"))).withColumn("revenue_per_store", ratio("revenue", "active_stores", "decimal(20,6)"))
 
 
 def average_price(sales: DataFrame, *columns: str) -> DataFrame:

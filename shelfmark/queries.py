@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.expressions import MONEY, MONEY_SUM, parse_boolean, parse_date, parse_decimal, parse_long, region_of_state
+from .functions.expressions import MONEY, MONEY_SUM, beside, parse_boolean, parse_date, parse_decimal, parse_long, region_of_state
 from .functions.fixed_values import REGION_STATES
 from .operators import aggregates, dims, dqmart, keys, reconcile, rules, scd2, silver
 from .operators.store import merged, missing_rows
@@ -509,8 +509,7 @@ def dq_rule_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ISSUES} SELECT 20240102 AS dq_date_key, source_table, source_table || '_2024_01_01_part-00000.parquet' AS source_file_name, dq_error_code, severity, 'QUARANTINED' AS dq_status, count(*) AS dq_issue_count, count(DISTINCT source_row_id) AS affected_record_count FROM issues GROUP BY ALL")
 def dq_daily_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _issues(spark, sf_dir)
-    named = keys.with_small_keys(dqmart.rules_of(found), "dq_rule_key", ["source_table", "dq_error_code"])
+    found, named = _issues(spark, sf_dir), dqmart.catalogue(spark)
     day = dims.calendar_between(spark.sql("select date'2024-01-01' as lo, date'2024-01-31' as hi"))
     out = dqmart.daily(dqmart.with_rule_keys(found, named), named, day)
     return out.join(named.select("dq_rule_key", "dq_error_code"), "dq_rule_key").drop("dq_rule_key", "geography_key")
@@ -532,14 +531,12 @@ def dq_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ISSUES} SELECT source_table, severity, count(*) AS issues, count(DISTINCT source_row_id) AS affected_records FROM issues GROUP BY ALL")
 def dq_by_table_and_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _issues(spark, sf_dir)
-    return kpis.issues_by(found.join(dqmart.rules_of(found), ["source_table", "dq_error_code"]), "source_table", "severity")
+    return kpis.issues_by(_issues(spark, sf_dir).join(dqmart.catalogue(spark), ["source_table", "dq_error_code"]), "source_table", "severity")
 
 
 @query(f"{_ISSUES} SELECT source_table, source_row_id, source_table || '_2024_01_01_part-00000.parquet' AS source_file_name, dq_error_code, dq_error_code AS dq_rule_name, severity, 'QUARANTINED' AS dq_status FROM issues")
 def dq_remediation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _issues(spark, sf_dir)
-    named = keys.with_small_keys(dqmart.rules_of(found), "dq_rule_key", ["source_table", "dq_error_code"])
+    found, named = _issues(spark, sf_dir), dqmart.catalogue(spark)
     return kpis.remediation(dqmart.with_rule_keys(found, named), named).drop("source_payload_json")
 
 
@@ -596,7 +593,7 @@ def header_line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = adapt.table(spark, sf_dir, "lineitem").join(adapt.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     heads, rows = split_sales(raw, ["o_orderkey", "o_custkey", "o_orderpriority"], ["l_orderkey", "l_linenumber", "l_partkey"])
     counted = heads.agg(F.count("*").alias("headers"), F.sum("o_orderkey").alias("key_sum"))
-    return counted.crossJoin(F.broadcast(rows.agg(F.count("*").alias("lines")))).select("headers", "lines", "key_sum")  # one row each
+    return beside(counted, rows.agg(F.count("*").alias("lines"))).select("headers", "lines", "key_sum")
 
 
 @query("SELECT 'orders' AS table_name, count(*) AS n FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'supplier', count(*) FROM supplier")

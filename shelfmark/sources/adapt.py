@@ -44,9 +44,8 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as invoices; the header owns the store."""
-    count = table(spark, sf_dir, "supplier").agg(F.count("*").alias("_stores"))
-    orders = table(spark, sf_dir, "orders").crossJoin(F.broadcast(count))  # one row
-    return orders.select(
+    count = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+    return table(spark, sf_dir, "orders").withColumn("_stores", count).select(
         F.col("o_orderkey").alias("invoice_id"),
         F.expr("o_orderkey % _stores").alias("store_key"),
         F.col("o_custkey").alias("customer_key"),
@@ -126,9 +125,9 @@ def bronze(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.when(F.col("p_partkey") % 3 == 0, "maybe").otherwise("yes").alias("is_active"),
         F.col("p_partkey"),
     )
-    count = table(spark, sf_dir, "supplier").agg(F.count("*").alias("_stores"))
+    count = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
     k = F.col("o_orderkey")
-    i = table(spark, sf_dir, "orders").crossJoin(F.broadcast(count)).select(  # one row
+    i = table(spark, sf_dir, "orders").withColumn("_stores", count).select(
         _text("o_orderkey").alias("invoice_id"),
         F.expr("cast(o_orderkey % _stores as string)").alias("store_id"),
         F.when(k % 7 == 0, None).when(k % 101 == 0, (F.col("o_custkey") + 1_000_000).cast("string")).when(k % 103 == 0, " ").otherwise(_text("o_custkey")).alias("customer_id"),
