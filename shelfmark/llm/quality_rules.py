@@ -9,6 +9,7 @@ if it is precise there, and the rows that it covers are set aside before the nex
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,59 +87,75 @@ class Rule:
         return out
 
 
-def _conditions(rows: list[dict], cuts: int) -> list[tuple[str, str, float]]:
-    out = []
+def _counted(rows: list[tuple[dict, bool]], cuts: int) -> Iterator[tuple[tuple[str, str, float], int, int]]:
+    """Conditions with the bad rows and all rows that they cover: up to ``cuts`` places between values a feature."""
+    all_bad = sum(b for _, b in rows)
     for f in FEATURES:
-        values = sorted({float(r[f]) for r in rows})
-        places = {round(i * (len(values) - 1) / cuts) for i in range(cuts)} if len(values) > 1 else set()
-        for i in sorted(places):
-            middle = (values[i] + values[min(i + 1, len(values) - 1)]) / 2
-            out += [(f, "<=", middle), (f, ">", middle)]
-    return out
+        ordered = sorted(((float(r[f]), b) for r, b in rows), key=lambda x: x[0])
+        places = [i for i in range(1, len(ordered)) if ordered[i - 1][0] < ordered[i][0]]
+        chosen = {places[round(k * (len(places) - 1) / max(1, cuts - 1))] for k in range(cuts)} if places else set()
+        below = 0
+        for i in range(1, len(ordered)):
+            below += ordered[i - 1][1]
+            if i in chosen:
+                middle = (ordered[i - 1][0] + ordered[i][0]) / 2
+                yield (f, "<=", middle), below, i
+                yield (f, ">", middle), all_bad - below, len(rows) - i
 
 
 def _precision(rule: Rule, rows: list[tuple[dict, bool]]) -> tuple[float, int, int]:
     bad = sum(b for r, b in rows if rule.covers(r))
     all_ = sum(rule.covers(r) for r, _ in rows)
-    return (bad + 1) / (all_ + 2), bad, all_
+    return (bad + 0.1) / (all_ + 0.2), bad, all_
 
 
-def learn_rules(rows: list[dict], bad: list[bool], *, precision: float = 0.9, longest: int = 3, most: int = 12, least: int = 3, cuts: int = 48) -> list[Rule]:
-    """Sequential covering: rules that reject, in order, each at least ``precision`` (smoothed) on held-back rows.
+def learn_rules(rows: list[dict], bad: list[bool], *, precisions: tuple[float, ...] = (0.98, 0.9), longest: int = 3, most: int = 12, least: int = 3, cuts: int = 48) -> list[Rule]:
+    """Sequential covering: rules that reject, in order, each precise enough on rows held back from growing it.
 
-    Two thirds of the rows grow rules by information gain (as in FOIL), the rest prune them and decide. It
-    ends when no rule reaches ``precision`` or covers ``least`` bad rows. Without rows or bad rows: no rules.
+    Two thirds of the rows grow rules by information gain (as in FOIL), the rest prune them and decide. A rule
+    is kept if its precision reaches the level, else another feature has to start the next; once none is left,
+    the next level is tried on what is still uncovered. It ends with the levels, at ``most`` rules, or where fewer than ``least`` bad rows remain. Without
+    rows or bad rows: no rules.
     """
     grow = [(r, b) for i, (r, b) in enumerate(zip(rows, bad, strict=True)) if i % 3]
     prune = [(r, b) for i, (r, b) in enumerate(zip(rows, bad, strict=True)) if i % 3 == 0]
     rules: list[Rule] = []
-    while len(rules) < most and sum(b for _, b in grow) >= least:
-        rule, covered = Rule(()), grow
-        while len(rule.conditions) < longest and not all(b for _, b in covered):
-            p0, n0 = sum(b for _, b in covered), len(covered)
-            best, gain = None, 1e-9
-            for c in _conditions([r for r, _ in covered], cuts):
-                inside = [b for r, b in covered if Rule((c,)).covers(r)]
-                p = sum(inside)
-                if p >= least and (g := p * (math.log2((p + 0.1) / (len(inside) + 0.2)) - math.log2((p0 + 0.1) / (n0 + 0.2)))) > gain:
-                    best, gain = c, g
-            if best is None:
+    for level in precisions:
+        failed: set[str] = set()
+        while len(rules) < most and sum(b for _, b in grow) >= least:
+            grown = _grow(grow, longest, least, cuts, failed)
+            if not grown.conditions:
                 break
-            rule = Rule((*rule.conditions, best))
-            covered = [(r, b) for r, b in covered if rule.covers(r)]
-        candidates = [Rule(rule.conditions[:k]) for k in range(1, len(rule.conditions) + 1)]
-        if not candidates:
-            break
-        score = lambda x: (m := _precision(x, prune), (2 * m[1] - m[2]))[1] if _precision(x, prune)[0] >= precision else -1
-        rule = max(candidates, key=score)
-        if score(rule) < 0 or _precision(rule, grow)[0] < precision:
-            break
-        rules.append(rule)
-        grow = [(r, b) for r, b in grow if not rule.covers(r)]
-        prune = [(r, b) for r, b in prune if not rule.covers(r)]
+            prefixes = [Rule(grown.conditions[:k]) for k in range(1, len(grown.conditions) + 1)]
+            fit = [r for r in prefixes if min(_precision(r, prune)[0], _precision(r, grow)[0]) >= level]
+            if not fit:
+                failed.add(grown.conditions[0][0])
+                continue
+            rule = max(fit, key=lambda r: 2 * _precision(r, prune)[1] - _precision(r, prune)[2])
+            rules.append(rule)
+            grow = [(r, b) for r, b in grow if not rule.covers(r)]
+            prune = [(r, b) for r, b in prune if not rule.covers(r)]
     return rules
 
 
+def _grow(rows: list[tuple[dict, bool]], longest: int, least: int, cuts: int, failed: set[str]) -> Rule:
+    """Conditions are added by their gain until only bad rows are covered or none gains; ``failed`` may not start."""
+    rule = Rule(())
+    while len(rule.conditions) < longest and not all(b for _, b in rows):
+        p0, n0 = sum(b for _, b in rows), len(rows)
+        best, gain = None, 1e-9
+        for c, p, n in _counted(rows, cuts):
+            if not rule.conditions and c[0] in failed:
+                continue
+            if p >= least and (g := p * (math.log2((p + 0.1) / (n + 0.2)) - math.log2((p0 + 0.1) / (n0 + 0.2)))) > gain:
+                best, gain = c, g
+        if best is None:
+            break
+        rule = Rule((*rule.conditions, best))
+        rows = [(r, b) for r, b in rows if rule.covers(r)]
+    return rule
+
+
 def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, sample: int = 4000, **options) -> list[Rule]:
     """Learns from at most ``sample`` labelled rows, those of the smallest hashes of their ids.
 
