@@ -1,15 +1,16 @@
 """Personal data in plain and in disguised form, with spans in the characters of the source text.
 
-Plain identifiers are found in the text as it is. A chain of transducers then rewrites look-alike characters,
-spelled digits and at/dot disguises; each keeps, for every character that it writes, the source characters that
-it stands for. Identifiers that only the rewritten text shows map back to source spans by that. Texts without
-any disguise, nearly all, are only searched for the disguises' triggers.
+Plain identifiers are found in the text as it is. A chain of transducers then rewrites character codes,
+look-alike characters, spelled digits and at/dot disguises; each keeps, for every character that it writes, the
+source characters that it stands for. Identifiers that only the rewritten text shows map back to source spans by
+that. Texts without any disguise, nearly all, are only searched for the disguises' triggers.
 
 A row is handled by itself (whole texts, linear time, no shuffle), so memory is one Arrow batch.
 """
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Callable, Iterator
 
@@ -42,6 +43,9 @@ LOOKALIKES = dict(
 HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 LOOKS = re.compile(f"[{''.join(LOOKALIKES)}{HIDDEN}！-～\U0001d400-\U0001d7ff]")
 
+#: Character references and percent codes of the at sign, dot, plus, hyphen and digits.
+CODED = re.compile(r"&(?:#0*(?:64|4[356]|48|49|5[0-7])|#x0*(?:40|2b|2d|2e|3[0-9])|commat|period|plus);|%(?:40|2e|2b)", re.IGNORECASE)
+
 # Digits in words, from 0 to 9, in English, German, French and Spanish.
 SPELLED = {
     w: str(i)
@@ -156,6 +160,11 @@ def _look(m: re.Match) -> list[tuple[str, int, int]]:
     return [(new, *m.span())]
 
 
+def _coded(m: re.Match) -> list[tuple[str, int, int]]:
+    new = html.unescape(m[0]) if m[0][0] == "&" else chr(int(m[0][1:], 16))
+    return [(new if len(new) == 1 else m[0], *m.span())]
+
+
 def _number(m: re.Match) -> list[tuple[str, int, int]]:
     out = []
     parts = [(p[0].lower().strip(), m.start() + p.start(), m.start() + p.end()) for p in _DIGIT_PART.finditer(m[0])]
@@ -175,9 +184,12 @@ def _address(m: re.Match) -> list[tuple[str, int, int]]:
 def disguised(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Source spans of what only the rewritten text shows and no span of its kind in ``found`` touches."""
     looks, digits, trigger = not text.isascii() and LOOKS.search(text), DIGITS.search(text), TRIGGER.search(text)
-    if not (looks or digits or trigger):
+    coded = ("&" in text or "%" in text) and CODED.search(text)
+    if not (looks or digits or trigger or coded):
         return []
     out = Rewritten(text)
+    if coded:
+        out.apply(CODED, _coded)
     if looks:
         out.apply(LOOKS, _look)
     out.apply(DIGITS, _number)

@@ -43,6 +43,12 @@ def test_disguises_map_back_to_the_source():
     assert disguises("mail a​b@ex​ample.org!") != []
 
 
+def test_coded_characters():
+    assert disguises("é john&#64;example&period;com!") == [("email", "john&#64;example&period;com")]
+    assert disguises("to=ann%40example.org&x=1") == [("email", "ann%40example.org")]
+    assert disguises("AT&T, 50%40 and &amp; &#64 &commat") == []
+
+
 def test_plain_prose_has_no_disguise():
     for text in ("look at example.com, it is the dot on the map", "one two three go", "un deux trois", "meet me at noon", "The and attion to thanedble the, anea.", "(at) noon [dot]", "Привет, как дела? это тест о"):
         assert disguises(text) == [], text
