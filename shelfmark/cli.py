@@ -7,6 +7,7 @@ import datetime as dt
 import os
 import sys
 
+from .operators import reconcile
 from .operators.checks import CheckFailed
 from .operators.store import TableStore
 from .plans import medallion
@@ -102,7 +103,7 @@ def main(argv: list[str] | None = None) -> int:
         elif args.stage == "aggregates":
             medallion.load_aggregates(store, args.as_of)
         else:
-            report = medallion.run(spark, args.root, args.raw, args.as_of) if args.stage == "run" else medallion.reconcile.report(spark, medallion.reconcile_gold(store))
+            report = medallion.run(spark, args.root, args.raw, args.as_of) if args.stage == "run" else reconcile.report(medallion.reconcile_gold(store))
             report.show(200, False)
             if not report.where("not passed").isEmpty():
                 return 1

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import date_key
 from ..functions.fixed_values import UNKNOWN_KEY
 from .checks import require_no_rows
 from .keys import next_key, with_keys
@@ -14,7 +13,7 @@ from .scd2 import as_of_join, require_single_match
 
 def resolve_invoices(invoices: DataFrame, dates: DataFrame, stores: DataFrame, customers: DataFrame) -> DataFrame:
     """Headers with date, store and customer keys. An anonymous sale has customer -1; nothing else has."""
-    dated = invoices.join(F.broadcast(dates.select(F.col("full_date").alias("_day"), "date_key")) if _small(dates) else dates.select(F.col("full_date").alias("_day"), "date_key"), F.col("invoice_date") == F.col("_day"), "left")
+    dated = invoices.join(dates.select(F.col("full_date").alias("_day"), "date_key"), F.col("invoice_date") == F.col("_day"), "left")
     known = lambda dim, key: dim.where(F.col(key) != UNKNOWN_KEY)
     out = as_of_join(dated, known(stores, "store_key"), "store_id", "invoice_date", ["store_key"])
     out = as_of_join(out, known(customers, "customer_key"), "customer_id", "invoice_date", ["customer_key"])
@@ -22,11 +21,6 @@ def resolve_invoices(invoices: DataFrame, dates: DataFrame, stores: DataFrame, c
     return out.select("invoice_id", "date_key", customer.alias("customer_key"), "store_key", "payment_method")
 
 
-def _small(dates: DataFrame, days: int = 100_000) -> bool:
-    """A calendar has a row a day, so a few centuries at most; checked all the same."""
-    return dates.limit(days + 1).count() <= days
-
-
 def resolve_lines(items: DataFrame, invoices: DataFrame, fact_invoice: DataFrame, products: DataFrame) -> DataFrame:
     """Lines with their invoice's key and the key of the product's version at the invoice's date."""
     dated = items.join(invoices.select("invoice_id", "invoice_date"), "invoice_id").join(fact_invoice.select("invoice_id", "invoice_key"), "invoice_id")
@@ -55,8 +49,3 @@ def carry_keys(resolved: DataFrame, existing: DataFrame, natural: list[str], key
     known = resolved.join(existing.select(*natural, key), natural, "left")
     new = with_keys(known.where(F.col(key).isNull()).drop(key), key, natural, next_key(existing, key))
     return known.where(F.col(key).isNotNull()).unionByName(new.select(*known.columns))
-
-
-def header_only(invoices: DataFrame) -> DataFrame:
-    """Headers with their date as a key, for use without a calendar."""
-    return invoices.withColumn("date_key", date_key("invoice_date"))

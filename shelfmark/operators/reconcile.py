@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import all_equal, any_difference, beside
 from ..functions.fixed_values import UNKNOWN_KEY
 from ..plans.schemas import GRAINS
 from . import aggregates, scd2
-from .checks import CheckFailed, duplicates
+from .checks import duplicates
 from .dqmart import record_snapshot
 
 
@@ -92,13 +92,7 @@ def bronze_split(bronze: dict[str, DataFrame], silver: dict[str, DataFrame], qua
     return counts.withColumn("adds_up", F.expr("bronze_rows = clean_rows + quarantine_rows"))
 
 
-def report(spark: SparkSession, checks: dict[str, DataFrame]) -> DataFrame:
+def report(checks: dict[str, DataFrame]) -> DataFrame:
     """``check_name, passed, offending_rows`` for every check, in one job."""
     frames = [df.agg(F.count("*").alias("offending_rows")).select(F.lit(name).alias("check_name"), "offending_rows") for name, df in checks.items()]
     return reduce(DataFrame.unionByName, frames).select("check_name", (F.col("offending_rows") == 0).alias("passed"), "offending_rows")
-
-
-def require_all(spark: SparkSession, checks: dict[str, DataFrame]) -> None:
-    failed = report(spark, checks).where("not passed").collect()
-    if failed:
-        raise CheckFailed(", ".join(f"{r['check_name']} ({r['offending_rows']})" for r in failed))

@@ -92,6 +92,8 @@ def load_dimensions(store: TableStore, as_of: str) -> None:
         if "is_current" in member.columns:
             member = member.withColumns({"effective_from": F.lit("1900-01-01 00:00:00").cast("timestamp"), "effective_to": F.lit("9998-12-31 00:00:00").cast("timestamp"), "is_current": F.lit(True)})
         store.overwrite(f"gold/{name}", dims.with_default(store.read(f"gold/{name}"), key, member))
+    for name, natural in (("customer", "customer_id"), ("store", "store_id"), ("product", "product_id")):
+        scd2.require_sound(store.read(f"gold/dim_{name}"), natural, f"{name}_key")
 
 
 def _columns(store: TableStore, name: str) -> DataFrame:
@@ -176,4 +178,4 @@ def run(spark: SparkSession, root: str, raw: str, as_of: str) -> DataFrame:
     load_facts(store)
     load_quality_mart(store)
     load_aggregates(store, as_of)
-    return reconcile.report(spark, reconcile_gold(store))
+    return reconcile.report(reconcile_gold(store))
