@@ -374,17 +374,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest id; columns as they were.
 
-    Ids are taken to tell rows apart: of rows with one id and linked texts all stay if that id is the smallest.
+    Rows that repeat an id and its text count once, unless the text has no words: such rows link with nothing and
+    all stay. So do rows without an id, and rows of one id whose texts differ, if that id is the smallest.
     """
-    linked = link_documents(docs, id_col, text_col, **options)
-    gone = materialise(linked.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct(), "join-gone")
-    # Only rows that the bitmap may hold meet the exact join; the others pass without a shuffle.
-    bitmap = Bitmap(gone, "id")
+    linked = materialise(link_documents(docs, id_col, text_col, **options).withColumnRenamed(id_col, "id"), "join-components")
+    gone = materialise(linked.where("component_id != id").select("id").distinct(), "join-gone")
+    again = linked.where("n_shingles > 0 and component_id = id").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    # Only rows that the bitmap may hold meet the exact joins; the others pass without a shuffle.
+    bitmap = Bitmap(materialise(gone.unionByName(again), "join-touched"), "id")
     flag = own_name(docs, "_maybe")
     marked = docs.withColumn(flag, F.coalesce(bitmap.may_hold(F.col(id_col)), F.lit(False)))
     sure = marked.where(~F.col(flag)).drop(flag)
-    rest = marked.where(F.col(flag)).drop(flag)
-    return sure.unionByName(rest.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti").select(*docs.columns))
+    rest = marked.where(F.col(flag)).drop(flag).join(gone.withColumnRenamed("id", id_col), id_col, "left_anti").select(*docs.columns)
+    worded = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return sure.unionByName(rest.where(worded).dropDuplicates([id_col, text_col])).unionByName(rest.where(~worded))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,13 @@ def test_keep_one_keeps_columns_and_lone_rows(documents):
     assert kept.columns == documents.columns
     ids = [r.doc_id for r in kept.collect()]
     assert set(ids) == set(range(14)) | {None}
-    assert ids.count(3) == 3
+    assert ids.count(3) == 1
+
+
+def test_rows_without_words_or_ids_all_stay(spark):
+    rows = [(1, ""), (1, ""), (2, None), (2, None), (None, "a b c"), (3, "a b c"), (3, "a b c"), (4, "a b c")]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept) == [("1", ""), ("1", ""), ("2", "None"), ("2", "None"), ("3", "a b c"), ("None", "a b c")]
 
 
 def test_empty_table(documents):
