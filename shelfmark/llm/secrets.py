@@ -98,7 +98,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", *, repo: Column, owner
     ``repo, owner, row_no, base, opaque``.
     """
     found_ = materialise(candidates(docs, text_col, repo, owner, keep), "secret-candidates")
-    each = found_.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("row_no", "repo", "owner", F.explode(F.concat("base", "opaque")).alias("span"))
+    some = (F.size("base") > 0) | (F.size("opaque") > 0)
+    each = found_.where(some).select("row_no", "repo", "owner", F.explode(F.concat("base", "opaque")).alias("span"))
     verdicts = ownership(each.select("span.hash", "repo", "owner")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = each.select("row_no", "span", F.col("span.hash").alias("hash"), F.pmod(F.col("row_no"), F.lit(salts)).cast("int").alias("salt"))
     judged = salted.join(verdicts, ["hash", "salt"]).withColumn("live", (F.col("n_owners") < example_owners) & ~F.col("span.placeholder"))
@@ -107,8 +108,10 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", *, repo: Column, owner
         F.count_if((F.col("span.rank") < 3) & F.col("live")).alias("n_live"),
         F.count_if((F.col("span.rank") < 3) & (F.col("n_owners") >= example_owners)).alias("n_example"),
     )
+    # Only rows with candidates meet the join; the others, nearly all, pass without a shuffle.
     none = F.array().cast(f"array<{SPAN}>")
-    return found_.join(by_row, "row_no", "left").select(*keep, "base", F.coalesce("owned", none).alias("owned"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    held = found_.where(some).join(by_row, "row_no", "left").select(*keep, "base", "owned", "n_live", "n_example")
+    return held.unionByName(found_.where(~some).select(*keep, "base", none.alias("owned"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_example")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
