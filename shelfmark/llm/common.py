@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import this package from where the driver did, whatever their folder.
+
+    On a cluster the package goes with the job, as by ``--py-files``.
+    """
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table of that name; Spark's reader resolves the path, so any store that Spark reads will do."""
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
