@@ -24,7 +24,12 @@ from .common import read_table
 VERSION = "WARC/1.1"
 RESPONSE = "warc_headers map<string,string>, http_head string, payload binary"
 RECORD = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, headers map<string,string>, content binary"
-RAW = re.compile(r"<!--|<(script|style|noscript|template|svg|head)\b", re.IGNORECASE)
+# Elements whose content is no text, and what only a head gives a meaning. Names end at a word's end, so <header> is no head.
+RAW = re.compile(r"<!--|<(script|style|noscript|template|svg|head|/head|body|frameset|title|noframes|meta|link|base)(?![\w-])", re.IGNORECASE | re.ASCII)
+NEXT = {name: re.compile(rf"<(/?){name}(?![\w-])", re.IGNORECASE | re.ASCII) for name in ("script", "style", "noscript", "title", "noframes")}
+NESTED = re.compile(r"<!--|<(/?)(svg|template)(?![\w-])[^<>]*", re.IGNORECASE | re.ASCII)
+#: A tag to its end, with ``>`` in quoted values.
+WHOLE_TAG = re.compile(r"<[a-zA-Z]++(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 BLOCK = re.compile(r"</?(?:p|div|br|hr|li|ul|ol|dl|dt|dd|tr|td|th|table|thead|tbody|h[1-6]|section|article|header|footer|nav|aside|main|pre|blockquote|form|figure|figcaption|option|address|title|body|html)\b[^<>]*>", re.IGNORECASE)
 TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
 SPACE = re.compile(r"[^\S\n]+")
@@ -35,20 +40,76 @@ HREF = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 
 
+def _comment_end(text: str, at: int) -> int:
+    """The end of the comment whose ``<!--`` ends at ``at``, or -1."""
+    for empty in (">", "->"):
+        if text.startswith(empty, at):
+            return at + len(empty)
+    end = text.find("-->", at)
+    return end + 3 if end >= 0 else -1
+
+
+def _nested(text: str) -> dict[int, int]:
+    """Where the closing tag of each ``svg`` and ``template`` that has one starts, by where the element starts."""
+    open_, out, at, last = {"svg": [], "template": []}, {}, 0, text.rfind("-->")
+    while m := NESTED.search(text, at):
+        at = m.end()
+        if not m[2]:
+            at = _comment_end(text, at) if at <= last else at
+        elif not m[1]:
+            if not m[0].endswith("/"):
+                open_[m[2].lower()].append(m.start())
+        elif open_[m[2].lower()]:
+            out[open_[m[2].lower()].pop()] = m.start()
+    return out
+
+
 def _without_raw(text: str) -> str:
-    """Without comments and the elements whose content is no text; one that is never closed ends the text."""
-    out, at = [], 0
-    lower = None
+    """Without comments and the elements whose content is no text.
+
+    As in HTML, a comment, ``script`` or ``style`` that is never closed ends the text. Of other elements without a
+    closing tag only the tag is left out. A head ends at its closing tag or where the body starts; all that it
+    takes from the text is what HTML never shows, so text in a head that isn't closed stays.
+    """
+    out, at, in_head, nested = [], 0, False, None
     while m := RAW.search(text, at):
         out.append(text[at : m.start()])
-        lower = lower if lower is not None else text.lower()
-        close = "-->" if not m[1] else f"</{m[1].lower()}"
-        end = lower.find(close, m.end())
-        if end < 0 or len(lower) != len(text):
-            end = text.find(close, m.end())
-        if end < 0:
-            return " ".join(out)
-        at = end + 3 if not m[1] else (text.find(">", end) + 1 or len(text))
+        at = m.end()
+        name = m[1].lower() if m[1] else ""
+        end = -1
+        if not name:
+            if (at := _comment_end(text, at)) < 0:
+                return "".join(out)
+        elif name in ("script", "style"):
+            close = NEXT[name].search(text, at)
+            while close and not close[1]:
+                close = NEXT[name].search(text, close.end())
+            if not close:
+                return "".join(out)
+            end = close.start()
+        elif name in ("head", "/head", "body", "frameset"):
+            in_head = name == "head"
+            at = m.start() + 1
+            out.append(text[m.start() : at])
+            continue
+        elif name in ("svg", "template"):
+            nested = _nested(text) if nested is None else nested
+            end = nested.get(m.start(), -1)
+        elif name == "noscript" or (in_head and name in ("title", "noframes")):
+            close = NEXT[name].search(text, at)
+            end = close.start() if close and close[1] else -1
+        elif not in_head or not (tag := WHOLE_TAG.match(text, m.start())):
+            at = m.start() + 1
+            out.append(text[m.start() : at])
+            continue
+        else:
+            at = tag.end()
+        if end >= 0:
+            at = text.find(">", end) + 1 or len(text)
+        elif name in ("noscript", "template", "svg", "title", "noframes"):
+            at = m.start() + 1
+            out.append(text[m.start() : at])
+            continue
         out.append(" ")
     return "".join([*out, text[at:]])
 

@@ -15,6 +15,20 @@ def test_plain_text():
     assert plain_text("<" * 100_000).startswith("<")
 
 
+def test_elements_that_are_never_closed_keep_their_text():
+    assert plain_text("<html><head><title>T</title><body><p>hello") == "hello"
+    assert plain_text("<head><title>T</title><meta content='a > b'><p>hello<header>top</header>tail") == "hello\ntop\ntail"
+    assert plain_text("<head><title>A</title><body>one<html><head><title>B</title></head><body>two") == "one\ntwo"
+    assert plain_text("<p>İ a<SCRIPT>x</SCRIPT>b<STYLE>y</STYLE>c") == "İ a b c"
+    for name in ("svg", "noscript", "template"):
+        assert plain_text(f"<{name}>a<p>b") == "a\nb"
+        assert plain_text(f"a<{name}>x</{name.upper()}>b") == "a b"
+        assert len(plain_text(f"<{name}><!--" * 50_000)) == 0
+    assert plain_text("<svg><svg></svg>in</svg>out") == "out"
+    assert plain_text("<svg/>a<svg-icon>b</svg-icon><!-->c") == "ab c"
+    assert plain_text("a<style>b") == "a"
+
+
 def pages(spark):
     rows = [(1, "http://a/", PAGE, 9), (2, None, None, 9), (3, "http://b/", "", 9), (3, "http://b/", "", 9), (None, "http://c/", "<p>é" + "x" * 100_000, 9)]
     return spark.createDataFrame(rows, "page_id long, url string, html string, content int")
