@@ -59,22 +59,30 @@ SPELLED = {
 } | {"oh": "0"}
 _WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _DOT = r"(?:[\x20\t]+(?:dot|point|punkt|punto)[\x20\t]+)"
-#: Four numbers or more in a row of which the first is spelled, or follows a spelled plus.
-DIGITS = re.compile(rf"(?<!\w)(?:(plus)[\x20\t-]+)?(?:(?:{_WORD})(?!\w)|[0-9]+(?=[\x20\t-]+(?:{_WORD})(?!\w)))(?:(?:{_DOT}|[\x20\t-]{{1,3}})(?:(?:{_WORD})(?!\w)|[0-9]+)){{3,}}", re.IGNORECASE)
-_DIGIT_PART = re.compile(rf"{_DOT}|[\x20\t-]+|plus|{_WORD}|[0-9]+", re.IGNORECASE)
+_SEP = r"[\x20\t-]{1,3}"
+_SPELT = rf"(?:{_WORD})(?!\w)"
+_LINK = rf"(?:{_DOT}|{_SEP})"
+#: Spelled digits that adjoin numbers or a plus, with the numbers that follow; of words alone, four or more in a row.
+DIGITS = re.compile(
+    rf"(?<!\w)(?:(?:plus{_SEP}|\+[\x20\t-]{{0,3}})(?:[0-9]+{_LINK}){{0,14}}{_SPELT}|[0-9]++(?=(?:{_DOT}[0-9]+){{0,2}}{_LINK}{_SPELT})|{_SPELT}(?=(?:{_LINK}{_SPELT})*+{_LINK}[0-9]|(?:{_LINK}{_SPELT}){{3}}))(?:{_LINK}(?:{_SPELT}|[0-9]+))*",
+    re.IGNORECASE,
+)
+_DIGIT_PART = re.compile(rf"{_DOT}|[\x20\t-]+|plus|\+|{_WORD}|[0-9]+", re.IGNORECASE)
 _BRACKET_AT = r"\s{0,3}[\[({<]\s?(?:at|arroba|ät|@)\s?[\])}>]\s{0,3}"
 _BRACKET_DOT = r"\s{0,3}[\[({<]\s?(?:dot|point|punkt|punto|\.)\s?[\])}>]\s{0,3}"
 _WORD_AT, _WORD_DOT = r"\s{1,3}at\s{1,3}", r"\s{1,3}dot\s{1,3}"
 _ANY_DOT = rf"(?:{_BRACKET_DOT}|{_WORD_DOT}|\.)"
 _HIDDEN_DOT = rf"(?:{_BRACKET_DOT}|{_WORD_DOT})"
 _NAME, _LABEL = r"[A-Za-z0-9_%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
-#: A bracketed at, or the word at or a plain @ before a domain with a disguised dot.
+#: A bracketed at, or the word at or a plain @ before a domain with a disguised dot, or the word at before a plain
+#: domain if what precedes it has letters and an inner dot, a digit or an underscore, as in no plain prose.
 ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9_%+-]){_NAME}(?:{_ANY_DOT}{_NAME}){{0,3}}(?:(?:{_BRACKET_AT}){_LABEL}(?:{_ANY_DOT}{_LABEL}){{1,4}}|(?:{_WORD_AT}|@){_LABEL}(?:\.{_LABEL}){{0,2}}{_HIDDEN_DOT}{_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,2}})",
+    rf"(?<![A-Za-z0-9_%+-])(?:{_NAME}(?:{_ANY_DOT}{_NAME}){{0,3}}(?:(?:{_BRACKET_AT}){_LABEL}(?:{_ANY_DOT}{_LABEL}){{1,4}}|(?:{_WORD_AT}|@){_LABEL}(?:\.{_LABEL}){{0,2}}{_HIDDEN_DOT}{_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,2}})"
+    rf"|(?=[0-9_%+.-]*[A-Za-z])(?:{_NAME}(?:{_ANY_DOT}{_NAME}){{1,3}}|(?=[A-Za-z%+-]*[0-9_]){_NAME}){_WORD_AT}{_LABEL}(?:\.{_LABEL}){{0,3}}\.[A-Za-z]{{2,63}}(?![A-Za-z0-9-]))",
     re.IGNORECASE,
 )
 _ADDRESS_PART = re.compile(rf"(?P<at>{_BRACKET_AT}|{_WORD_AT}|@)|(?P<dot>{_ANY_DOT})|(?P<name>{_NAME})", re.IGNORECASE)
-TRIGGER = re.compile(rf"[\[({{<]\s?(?:at|arroba|ät|@|dot|point|punkt|punto|\.)\s?[\])}}>]|(?:@|\sat\s{{1,3}})[A-Za-z0-9.-]{{1,200}}\s{{1,3}}dot\s", re.IGNORECASE)
+TRIGGER = re.compile(rf"[\[({{<]\s?(?:at|arroba|ät|@|dot|point|punkt|punto|\.)\s?[\])}}>]|(?:@|\sat\s{{1,3}})[A-Za-z0-9.-]{{1,200}}\s{{1,3}}dot\s|\sat\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]", re.IGNORECASE)
 
 
 def _luhn(digits: str) -> bool:
@@ -168,10 +176,8 @@ def _coded(m: re.Match) -> list[tuple[str, int, int]]:
 def _number(m: re.Match) -> list[tuple[str, int, int]]:
     out = []
     parts = [(p[0].lower().strip(), m.start() + p.start(), m.start() + p.end()) for p in _DIGIT_PART.finditer(m[0])]
-    if sum(p in SPELLED for p, _, _ in parts) < 3:
-        return [(m[0], *m.span())]
     for word, a, b in parts:
-        new = SPELLED.get(word, "+" if word == "plus" else "." if word in ("dot", "point", "punkt", "punto") else word if word.isdecimal() else "")
+        new = SPELLED.get(word, "+" if word in ("plus", "+") else "." if word in ("dot", "point", "punkt", "punto") else word if word.isdecimal() else "")
         out.append((new, a, b))
     return out
 

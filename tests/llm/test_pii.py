@@ -43,6 +43,24 @@ def test_disguises_map_back_to_the_source():
     assert disguises("mail a​b@ex​ample.org!") != []
 
 
+def test_the_word_at_before_a_plain_domain():
+    assert disguises("mail jane.doe at gmail.com now") == [("email", "jane.doe at gmail.com")]
+    assert disguises("so jane_d at mail.example.org.") == [("email", "jane_d at mail.example.org")]
+    assert disguises("é jane7 at gmail.com, john dot doe at example.com") == [("email", "jane7 at gmail.com"), ("email", "john dot doe at example.com")]
+    for text in ("look at example.com, it", "release 2.0 at example.com", "meet jane.doe at 10.30 sharp"):
+        assert disguises(text) == [], text
+
+
+def test_few_spelled_digits_among_numbers():
+    assert disguises("é call +49 30 12 34 five six 78 ok") == [("phone", "+49 30 12 34 five six 78")]
+    assert disguises("plus four nine 30 12 34 56 78!") == [("phone", "plus four nine 30 12 34 56 78")]
+    assert disguises("card 4111 1111 1111 111 one") == [("card", "4111 1111 1111 111 one")]
+    assert disguises("host 192 dot 168 dot zero dot one") == [("ip", "192 dot 168 dot zero dot one")]
+    assert disguises("one of 12 or two 3, plus one more") == []
+    for run in ("one ", "one 1 ", "plus 1 ", "1 dot ", "a at b."):
+        assert disguised(run * 30_000, []) is not None
+
+
 def test_coded_characters():
     assert disguises("é john&#64;example&period;com!") == [("email", "john&#64;example&period;com")]
     assert disguises("to=ann%40example.org&x=1") == [("email", "ann%40example.org")]
