@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 SCHEMA = "start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long"
+#: Special tokens by vocabulary file; files of ranks hold none.
+SPECIAL = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
 
 
 class HarmonicPacker:
@@ -114,8 +116,8 @@ def load_encoder(tokenizer: str):
     """A function from a list of texts to lists of ids.
 
     ``tokenizer``: a vocabulary file of the public tokenizers. Ranks (``.tiktoken``) and the JSON form of the
-    same vocabulary give the same ids; ranks take a fifth of the time. Strings of special tokens that occur in
-    a text are ordinary text.
+    same vocabulary give the same ids; ranks take a fifth of the time. Where the string of a special token occurs
+    in a text it is that token, as in the JSON form; no others are added.
     """
     import public_tokenizers
 
@@ -124,14 +126,13 @@ def load_encoder(tokenizer: str):
         from tokenizers import Tokenizer
 
         loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
         return lambda texts: [e.ids for e in loaded.encode_batch(texts, add_special_tokens=False)]
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL.get(tokenizer, {}))
+    return lambda texts: [encoding.encode(t, allowed_special="all") for t in texts]
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "byte_bpe_50k.tiktoken", end_id: int = 1, capacity: int = 2048, classes: int = 16, chunk: int = 256) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from shelfmark.llm.packing import HarmonicPacker, pack_documents
+from shelfmark.llm.packing import HarmonicPacker, load_encoder, pack_documents
 
 
 def check(pieces, texts, capacity):
@@ -40,6 +40,13 @@ def test_round_trip_and_padding(spark, documents):
         assert check(pack_documents(unique, capacity=capacity).collect(), texts, capacity) == 0
 
 
+def test_special_tokens_in_a_text(spark):
+    texts = {1: "a <|endoftext|> b", 2: "<|endoftext|><|endoftext|>", 3: "<|endoftext|", 4: " <|ENDOFTEXT|>\n<|endoftext|>\n"}
+    for tokenizer in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+        assert check(pack_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), tokenizer=tokenizer).collect(), texts, 2048) == 0
+        assert load_encoder(tokenizer)(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
+
+
 def test_repeated_and_null_ids_are_packed_once_each(documents):
     rows = pack_documents(documents).collect()
     assert sum(r.doc_id == 3 and r.start == 0 for r in rows) == 3
