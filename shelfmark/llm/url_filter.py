@@ -3,7 +3,8 @@
 The tree grows level by level over counts, never over single urls. Segments first take a shape (numbers, hashes,
 dates become placeholders), which leaves few paths a host. At each node, segments that are many and each rare
 become a wildcard. The rest, whose number is bounded by that, are compared pairwise: branches merge whose labelled
-block rates do not differ significantly and whose next segments are of like kinds. A template's purity is its
+block rates do not differ significantly and whose next segments are of like kinds. A rare segment with enough labels
+whose block rate differs significantly from that of the other rare ones stays by itself. A template's purity is its
 share of blocked urls among the labelled ones, smoothed towards its parent's; a template is rejected from a
 purity on.
 
@@ -60,6 +61,14 @@ def _class_of(segment: Column) -> Column:
     return kind.when(segment.contains("."), "file").otherwise("word")
 
 
+def _apart(labelled: Column, blocked: Column, all_labelled: Column, all_blocked: Column, z: float) -> Column:
+    """Whether a branch's block rate differs by more than chance from that of the others of ``all``, or they have none."""
+    own, others, every = (F.greatest(n, F.lit(1)) for n in (labelled, all_labelled - labelled, all_labelled))
+    rate = all_blocked / every
+    spread = F.sqrt(F.greatest(rate * (1 - rate), 0.25 / every) * (1 / own + 1 / others))
+    return (labelled == all_labelled) | (F.abs(blocked / own - (all_blocked - blocked) / others) > z * spread)
+
+
 def _alike(a: dict, b: dict, z: float, distance: float) -> bool:
     """Whether two branches' block rates and next segments differ by no more than chance and ``distance``."""
     if bool(a["labelled"]) != bool(b["labelled"]):
@@ -87,11 +96,13 @@ def merge_branches(branches: pd.DataFrame, z: float = 1.96, distance: float = 0.
     return pd.DataFrame([(s, s if len(names) == 1 else "{" + "|".join(sorted(names)) + "}") for _, names in groups for s in names], columns=["segment", "merged"])
 
 
-def learn_templates(urls: DataFrame, *, depth: int = 8, children: int = 30, share: float = 0.02, smoothing: float = 5.0) -> DataFrame:
+def learn_templates(urls: DataFrame, *, depth: int = 8, children: int = 30, share: float = 0.02, smoothing: float = 5.0, few: int = 5, z: float = 1.96) -> DataFrame:
     """``host, shape, template, urls, labelled, blocked, purity`` from ``host, path, label`` (1 block, 0 allow, or null).
 
-    Segments beyond ``depth`` are one. A segment becomes a wildcard if its node has more than ``children`` and
-    it has less than ``share`` of the node's urls; so no more than ``max(children, 1 / share)`` are compared.
+    Segments beyond ``depth`` are one. A segment is rare if its node has more than ``children`` and it has less
+    than ``share`` of the node's urls; so no more than ``max(children, 1 / share)`` are compared. Rare segments
+    become a wildcard, but for those with ``few`` labels or more whose block rate differs from that of the
+    node's other rare ones by more than ``z`` standard errors: each of these is a template of its own.
     Without labels every purity is 0.5, the smoothed rate of nothing. No urls, no templates.
     """
     counted = urls.groupBy("host", shape_of(F.col("path")).alias("shape")).agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked"))
@@ -116,7 +127,11 @@ def learn_templates(urls: DataFrame, *, depth: int = 8, children: int = 30, shar
             return merge_branches(group).assign(host=key[0], template=key[1])[["host", "template", "segment", "merged"]]
 
         kept = judged.where("not rare").drop("k", "all", "rare").groupBy("host", "template").applyInPandas(merged, "host string, template string, segment string, merged string")
-        names = kept.unionByName(judged.where("rare").select("host", "template", "segment", F.lit("*").alias("merged")))
+        rare = judged.where("rare").select("host", "template", "segment", "labelled", "blocked")
+        wild = rare.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+        own = (F.col("labelled") >= few) & _apart(F.col("labelled"), F.col("blocked"), F.col("l"), F.col("b"), z)
+        folded = rare.join(wild, ["host", "template"]).select("host", "template", "segment", F.when(own, F.col("segment")).otherwise("*").alias("merged"))
+        names = kept.unionByName(folded)
         named = deep.join(names, ["host", "template", "segment"]).withColumn("to", F.concat("template", F.lit("/"), "merged"))
         below = named.groupBy("host", "to").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         grown = named.join(below, ["host", "to"]).select(

@@ -43,6 +43,16 @@ def test_variable_segments_become_wildcards_and_like_branches_merge(spark):
     assert got["/spam/{num}"].purity > 0.9 and got["/{en|fr}/{num}"].purity < 0.1 < got["/item/*/{num}"].purity < 0.9
 
 
+def test_rare_segments_with_a_block_rate_of_their_own_stay_out_of_the_wildcard(spark):
+    rows = [("h.net", f"/u/name{chr(97 + i % 26)}{chr(97 + i // 26)}/{k}", 0) for i in range(150) for k in range(12)]
+    rows += [("h.net", f"/u/bad{c}/{k}", 1 if k < 10 else None) for c in "xyz" for k in range(20)]
+    rows += [("h.net", f"/u/few{c}/{k}", 1) for c in "xyz" for k in range(2)]
+    urls = spark.createDataFrame(rows, "host string, path string, label int")
+    got = {r.template: r for r in learn_templates(urls).collect()}
+    assert set(got) == {"/u/*/{num}", "/u/badx/{num}", "/u/bady/{num}", "/u/badz/{num}"}
+    assert got["/u/*/{num}"].purity < 0.1 and all(got[f"/u/bad{c}/{{num}}"].purity > 0.7 for c in "xyz")
+
+
 def test_learned_templates_decide_where_no_rule_fits(spark):
     rows = [(i, f"http://h.net/{'spam' if i % 3 == 0 else 'good'}/{i}", (1 if i % 3 == 0 else 0) if i % 2 else None) for i in range(300)]
     pages = spark.createDataFrame(rows, "page_id long, url string, label int")
