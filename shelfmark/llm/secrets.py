@@ -30,6 +30,7 @@ OPAQUE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|your[_-]|xxxx|0000000|1234567|abcdefg"
 KINDS = ("assign", "access", "hex", "owned")
 SPAN = "struct<start:int,rank:int,stop:int,hash:string,placeholder:boolean>"
+JUDGED = "struct<start:int,rank:int,stop:int,n_owners:bigint,n_repos:bigint,n_uses:bigint,live:boolean>"
 
 
 def _mixed(value: Column) -> Column:
@@ -86,32 +87,38 @@ def ownership(spans: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_uses"))
 
 
-def scan_secrets(docs: DataFrame, text_col: str = "text", *, repo: Column, owner: Column, keep: list[str], example_owners: int = 3, salts: int = 16) -> DataFrame:
+def scan_secrets(docs: DataFrame, text_col: str = "text", *, repo: Column, owner: Column, keep: list[str], example_owners: int = 3, example_repos: int | None = None, salts: int = 16) -> DataFrame:
     """Spans of every row with what the corpus says of their values.
 
     Returns ``keep`` and ``base`` (spans of the fixed kinds, by start, then kind), ``owned`` (further spans
-    whose values are live), ``n_live`` and ``n_example``. A row's values are live if fewer than
-    ``example_owners`` owners have them and they are no placeholders; ``repo`` counts within its owner.
+    whose values are live), ``n_live`` and ``n_example``, and ``judged``, every candidate by start, then kind, with
+    the numbers of owners, repositories and uses of its value and whether it is live. A row's values are live
+    if fewer than ``example_owners`` owners and, where that is given, fewer than ``example_repos`` repositories
+    have them and they are no placeholders; ``repo`` counts within its owner.
 
     Null or empty text: no spans. Null owners and repositories count as one owner or repository. Repeated
     rows are rows of their own. An empty table gives an empty result. ``keep`` may hold any names but
-    ``repo, owner, row_no, base, opaque``.
+    ``repo, owner, row_no, base, opaque, judged``.
     """
     found_ = materialise(candidates(docs, text_col, repo, owner, keep), "secret-candidates")
     some = (F.size("base") > 0) | (F.size("opaque") > 0)
     each = found_.where(some).select("row_no", "repo", "owner", F.explode(F.concat("base", "opaque")).alias("span"))
     verdicts = ownership(each.select("span.hash", "repo", "owner")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = each.select("row_no", "span", F.col("span.hash").alias("hash"), F.pmod(F.col("row_no"), F.lit(salts)).cast("int").alias("salt"))
-    judged = salted.join(verdicts, ["hash", "salt"]).withColumn("live", (F.col("n_owners") < example_owners) & ~F.col("span.placeholder"))
+    copied = F.col("n_owners") >= example_owners
+    if example_repos is not None:
+        copied |= F.col("n_repos") >= example_repos
+    judged = salted.join(verdicts, ["hash", "salt"]).withColumn("example", copied).withColumn("live", ~F.col("example") & ~F.col("span.placeholder"))
     by_row = judged.groupBy("row_no").agg(
         F.sort_array(F.collect_list(F.when(F.col("live") & (F.col("span.rank") == 3), F.col("span")))).alias("owned"),
         F.count_if((F.col("span.rank") < 3) & F.col("live")).alias("n_live"),
-        F.count_if((F.col("span.rank") < 3) & (F.col("n_owners") >= example_owners)).alias("n_example"),
+        F.count_if((F.col("span.rank") < 3) & F.col("example")).alias("n_example"),
+        F.sort_array(F.collect_list(F.struct("span.start", "span.rank", "span.stop", "n_owners", "n_repos", "n_uses", "live"))).alias("judged"),
     )
     # Only rows with candidates meet the join; the others, nearly all, pass without a shuffle.
     none = F.array().cast(f"array<{SPAN}>")
-    held = found_.where(some).join(by_row, "row_no", "left").select(*keep, "base", "owned", "n_live", "n_example")
-    return held.unionByName(found_.where(~some).select(*keep, "base", none.alias("owned"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_example")))
+    held = found_.where(some).join(by_row, "row_no", "left").select(*keep, "base", "owned", "n_live", "n_example", "judged")
+    return held.unionByName(found_.where(~some).select(*keep, "base", none.alias("owned"), F.lit(0).cast("bigint").alias("n_live"), F.lit(0).cast("bigint").alias("n_example"), F.array().cast(f"array<{JUDGED}>").alias("judged")))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,18 @@ def test_a_hot_value_is_counted_whole(spark):
     assert out.where("n_example = 1 and n_live = 0").count() == 3000
 
 
+def test_repositories_of_one_owner_count_where_they_are_asked_to(spark):
+    rows = [(i, "password=copied4099" if i < 8 else "password=onlyhere77", "s", f"repo{i % 4}") for i in range(9)] + [(9, "nothing", "s", "repo0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("n_words", F.lit("x"))
+    by_owner = {r.doc_id: r for r in scan(docs).collect()}
+    assert [by_owner[i].n_live for i in range(10)] == [1] * 9 + [0]
+    assert [(j.n_owners, j.n_repos, j.n_uses, j.live) for i in (0, 8) for j in by_owner[i].judged] == [(1, 4, 8, True), (1, 1, 1, True)] and by_owner[9].judged == []
+    by_repo = {r.doc_id: r for r in scan(docs, example_repos=4).collect()}
+    assert [(by_repo[i].n_live, by_repo[i].n_example) for i in (0, 7, 8)] == [(0, 1), (0, 1), (1, 0)]
+    kept = drop_live_secrets(docs, repo=F.col("lang"), owner=F.col("source"), example_repos=4)
+    assert {r.doc_id for r in kept.collect()} == {*range(8), 9}
+
+
 def test_filter_keeps_columns_and_clean_rows(documents):
     kept = drop_live_secrets(documents, repo=F.col("lang"), owner=F.col("source"))
     assert kept.dtypes == documents.dtypes
