@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,44 +33,80 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, which driver and executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this application's own tables, below ``spark.checkpoint.dir``, which driver and executors share.
 
-    A session without that setting (tests, local runs) gets a temporary folder.
+    A local session without that setting (tests, trials) gets a temporary folder; on a cluster it is an error, as
+    each machine would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         base = tempfile.mkdtemp(prefix="shelfmark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/shelfmark-{spark.sparkContext.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in that folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    Cuts the lineage: a lost executor makes Spark reread these files, not recompute what led to them.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    # Spark removes shuffle files once the driver's garbage, which may be long in coming, has gone.
-    del df
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder on any file system that Spark writes to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that operators have written for themselves; for jobs whose results are stored."""
+    delete(spark, shared_folder(spark))
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
-    """Jobs started meanwhile hand Python at most so many rows at a time, as long texts would make large batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def settings(spark: SparkSession, **values: str | int) -> Iterator[None]:
+    """Jobs that are started meanwhile run under these settings; ``__`` stands for a dot."""
+    wanted = {k.replace("__", "."): str(v) for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+class Scratch:
+    """Tables that an operator writes for itself and reads again.
+
+    Writing cuts the lineage: a lost executor makes Spark reread these files, not recompute what led to them. Spark
+    removes the shuffle files of such a job at its end, as nothing reads them again. ``drop`` deletes what no later
+    step reads; what the operator's lazy result still reads stays until ``release``.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((out, path))
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for frame, path in list(self.paths):
+            if any(frame is f for f in frames):
+                delete(self.spark, path)
+                self.paths.remove((frame, path))
 
 
 def own_name(df: DataFrame, wanted: str) -> str:

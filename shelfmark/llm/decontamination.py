@@ -11,7 +11,8 @@ Banded MinHash signatures of fixed length can't find forty words in twenty thous
 0.002), whatever the size partition; that is why sketches grow with the sets here.
 
 The index of a block of items is broadcast, and a block is bounded by the bytes of its texts; further blocks are
-further passes over the documents. Documents are never shuffled or collected.
+further passes over the documents (one for each 16 MB of benchmark by default; benchmarks are small beside a
+corpus), each with a broadcast that stays as long as the result may be read. Documents are never shuffled or collected.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import own_name, read_table
 from .shingles import WIDTH, shingle_set, shingles, word_hashes, words_of
@@ -125,6 +127,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     doc_type, item_type = docs.schema[id_col].dataType, items.schema[item_col].dataType
+    item_arrow = to_arrow_type(item_type)
     item_name = item_col if item_col != id_col else f"{item_col}_item"
     schema = f"`{id_col}` {doc_type.simpleString()}, `{item_name}` {item_type.simpleString()}, shared long, item_shingles long, containment double"
     out = spark.createDataFrame([], schema)
@@ -143,7 +146,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     sizes = [len(index.sets[i]) for i, _ in found]
                     shared = [s for _, s in found]
                     ids = batch.column(0).take(pa.array(rows))
-                    item_ids = pa.array([index.ids[i] for i, _ in found])
+                    item_ids = pa.array([index.ids[i] for i, _ in found], item_arrow)
                     yield pa.RecordBatch.from_arrays([ids, item_ids, pa.array(shared, pa.int64()), pa.array(sizes, pa.int64()), pa.array([s / z for s, z in zip(shared, sizes)], pa.float64())], names=[id_col, item_name, "shared", "item_shingles", "containment"])
 
         part = docs.select(id_col, text_col).mapInArrow(search, schema)

@@ -8,14 +8,17 @@ j remainders. The gap that such a bin still has is closed by cutting *filler*: r
 stay whole, and every closed sequence is full. At the end of a partition the unfinished bins are joined, and
 the last partial sequence is cut at powers of two.
 
-Memory of a worker: one Arrow batch, at most ``classes`` unfinished bins and about one sequence of filler.
+Memory of a worker: one Arrow batch, at most ``classes`` unfinished bins, about one sequence of filler, and the
+pieces of text that the encoder remembers.
 """
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-SCHEMA = "start long, length long, token_bytes binary, doc_tokens long, sequence_id long, offset long"
-#: Special tokens by vocabulary file; files of ranks hold none.
-SPECIAL = {"byte_bpe_50k.tiktoken": {"<|endoftext|>": 50256}}
+PIECES = {"start": "long", "length": "long", "token_bytes": "binary", "doc_tokens": "long", "sequence_id": "long", "offset": "long"}
+#: White space and what follows it up to the next white space.
+PIECE = re.compile(r"\s*\S+|\s+")
 
 
 class HarmonicPacker:
@@ -112,41 +115,79 @@ class HarmonicPacker:
             self.done.append(self._cut(self.capacity))
 
 
-def load_encoder(tokenizer: str):
-    """A function from a list of texts to lists of ids.
+class Encoder:
+    """Texts to token ids by a JSON vocabulary file of the public tokenizers, as little-endian unsigned 32-bit numbers.
 
-    ``tokenizer``: a vocabulary file of the public tokenizers. Ranks (``.tiktoken``) and the JSON form of the
-    same vocabulary give the same ids; ranks take a fifth of the time. Where the string of a special token occurs
-    in a text it is that token, as in the JSON form; no others are added.
+    The ids are those of ``Tokenizer.encode(text, add_special_tokens=False)``. A byte-level vocabulary never puts
+    a token across the place where white space follows something else, so texts are cut there and a piece that came
+    before isn't encoded again: words repeat, and the library takes far longer than a look-up. What that does not
+    hold for is encoded whole: other vocabularies, and texts with a special token's string or one of the four
+    characters that are white space for Python alone. At most ``most`` pieces of at most ``longest`` characters
+    are remembered.
     """
-    import public_tokenizers
 
-    path = public_tokenizers.path(tokenizer)
-    if tokenizer.endswith(".json"):
+    def __init__(self, tokenizer: str, most: int = 400_000, longest: int = 48) -> None:
+        import public_tokenizers
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        return lambda texts: [e.ids for e in loaded.encode_batch(texts, add_special_tokens=False)]
-    import tiktoken
+        path = public_tokenizers.path(tokenizer)
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.tokenizer = Tokenizer.from_file(path)
+        before = form.get("pre_tokenizer") or {}
+        self.by_pieces = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not form.get("normalizer") and not form.get("post_processor")
+        special = [re.escape(t["content"]) for t in form.get("added_tokens", ())]
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *special]))
+        self.known: dict[str, bytes] = {}
+        self.most, self.longest = most, longest
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.by_pieces:
+            return self._direct(texts)
+        out: list[bytes] = [b""] * len(texts)
+        pieces = {i: PIECE.findall(t) for i, t in enumerate(texts) if not self.whole.search(t)}
+        if len(self.known) > self.most:
+            self.known.clear()
+        fresh = list(set().union(*pieces.values()).difference(self.known))
+        found = dict(zip(fresh, self._direct(fresh)))
+        short = {p: ids for p, ids in found.items() if len(p) <= self.longest}
+        self.known.update(short)
+        long = {p: ids for p, ids in found.items() if len(p) > self.longest}
+        look = self.known.__getitem__ if not long else lambda p: long[p] if p in long else self.known[p]
+        for i, own in pieces.items():
+            out[i] = b"".join(map(look, own))
+        rest = [i for i in range(len(texts)) if i not in pieces]
+        for i, ids in zip(rest, self._direct([texts[i] for i in rest]) if rest else ()):
+            out[i] = ids
+        return out
+
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL.get(tokenizer, {}))
-    return lambda texts: [encoding.encode(t, allowed_special="all") for t in texts]
+@lru_cache(maxsize=2)
+def load_encoder(tokenizer: str) -> Encoder:
+    """One for each worker process, so that what it remembers serves all its tasks."""
+    return Encoder(tokenizer)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "byte_bpe_50k.tiktoken", end_id: int = 1, capacity: int = 2048, classes: int = 16, chunk: int = 256) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str = "byte_bpe_50k.json", end_id: int = 1, capacity: int = 2048, classes: int = 16, chunk: int = 256) -> DataFrame:
     """Pieces of token sequences: ``id_col, start, length, token_bytes, doc_tokens, sequence_id, offset``.
 
-    ``token_bytes`` are the piece's ids as little-endian unsigned 32-bit numbers. A document is its ids and
-    then ``end_id``; a null or empty text is ``end_id`` alone, and a null id is kept as it is. Repeated rows
-    are packed once each. An empty table gives no rows; further columns are not read.
+    ``token_bytes`` are the piece's ids as little-endian unsigned 32-bit numbers. A document is its ids, by the
+    JSON vocabulary ``tokenizer``, and then ``end_id``; a null or empty text is ``end_id`` alone, and a null id is
+    kept as it is. Where the string of a special token occurs in a text it is that token; no others are added.
+    Repeated rows are packed once each. An empty table gives no rows; further columns are not read. If ``id_col``
+    bears the name of a piece's column, that column gets an underscore.
 
     ``sequence_id`` is unique in the result (partition and number in it), ``offset`` counts from 0 without
     gaps in a sequence. Sequences have ``capacity`` ids, but for at most one set of power-of-two lengths for
     each partition. ``chunk``: documents that are tokenised at a time.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    columns = {(f"{c}_" if c == id_col.lower() else c): kind for c, kind in PIECES.items()}
+    end = np.array([end_id], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoder(tokenizer)
@@ -157,39 +198,34 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def rows() -> pa.RecordBatch | None:
             nonlocal made
-            ids, starts, lengths, data, totals, sequences, offsets = [], [], [], [], [], [], []
+            found = []
             for sequence in packer.take():
                 at = 0
                 for (doc, total), start, tokens in sequence:
-                    ids.append(doc)
-                    starts.append(start)
-                    lengths.append(len(tokens))
-                    data.append(tokens.tobytes())
-                    totals.append(total)
-                    sequences.append(first + made)
-                    offsets.append(at)
+                    found.append((doc, start, len(tokens), tokens.tobytes(), total, first + made, at))
                     at += len(tokens)
                 made += 1
-            if not ids:
+            if not found:
                 return None
-            longs = [pa.array(x, pa.int64()) for x in (starts, lengths)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), *longs, pa.array(data, pa.binary()), *(pa.array(x, pa.int64()) for x in (totals, sequences, offsets))], names=[id_col, "start", "length", "token_bytes", "doc_tokens", "sequence_id", "offset"])
+            types = (kind, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types, strict=True)], names=[id_col, *columns])
 
         for batch in batches:
             kind = batch.schema.field(0).type
             for at in range(0, batch.num_rows, chunk):
                 part = batch.slice(at, chunk)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encode(texts), strict=True):
-                    ids.append(end_id)
-                    packer.add((doc, len(ids)), np.array(ids, dtype="<u4"))
+                for doc, data in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                    ids = np.frombuffer(data + end, "<u4")
+                    packer.add((doc, len(ids)), ids)
                 if (out := rows()) is not None:
                     yield out
         packer.flush()
         if (out := rows()) is not None:
             yield out
 
-    return docs.select(id_col, text_col).mapInArrow(pack, f"`{id_col}` {id_type}, {SCHEMA}")
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in columns.items())
+    return docs.select(id_col, text_col).mapInArrow(pack, f"`{id_col}` {id_type}, {schema}")
 
 
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def with_statistics(df: DataFrame, text_col: str = "text", window: int = 5) -> D
     Null and empty texts have zero throughout; a text shorter than a window has no repeated windows. Existing
     columns keep their names and values unless they bear one of these names, in which case they are replaced.
     """
-    text, words, hashes, grams, repeated = (own_name(df, f"_{x}") for x in ("text", "words", "hashes", "grams", "repeated"))
+    text, words, hashes, grams, repeated, n_lines = (own_name(df, f"_{x}") for x in ("text", "words", "hashes", "grams", "repeated", "lines"))
     t = F.col(text)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = df.withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
@@ -64,11 +64,11 @@ def with_statistics(df: DataFrame, text_col: str = "text", window: int = 5) -> D
             "distinct_share": per_word(F.size(F.array_distinct(hashes))),
             "repeat_share": per_word(F.col("n_repeat_words")),
             "word_length": per_word(F.col("word_chars")),
-            "_lines": F.size(lines),
+            n_lines: F.size(lines),
         }
     )
-    out = out.withColumns({"symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("_lines"), F.lit(1))})
-    return out.drop(text, words, hashes, grams, repeated, "_lines")
+    out = out.withColumns({"symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)), "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col(n_lines), F.lit(1))})
+    return out.drop(text, words, hashes, grams, repeated, n_lines)
 
 
 @dataclass(frozen=True)
