@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialise, own_name, read_table, small_batches
+from .common import Scratch, own_name, read_table, settings
 from .shingles import shingle_set, words_of
 
 DOC, ENTRY, PAIR = 0, 1, 2
@@ -142,7 +142,7 @@ def _counts(docs: DataFrame, text_col: str, rows: int, bits: int, above: int, mo
         )
 
     packed = docs.select(text_col).mapInArrow(count, "part int, tokens binary, counts binary")
-    found = materialise(packed.groupBy("part").applyInArrow(total, "part int, token long, n long, marks binary"), "join-counts")
+    found = Scratch(docs.sparkSession).write(packed.groupBy("part").applyInArrow(total, "part int, token long, n long, marks binary"), "join-counts")
     often = found.where("token is not null").select("token", "n").orderBy(F.desc("n"), "token").limit(most).toArrow()
     tokens, n = often.column("token").to_numpy().astype(np.uint64), often.column("n").to_numpy()
     order = np.argsort(tokens)
@@ -317,7 +317,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Large-star and small-star steps, a written table each round; they end when the edges no longer change,
     after about as many rounds as the logarithm of the longest chain.
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
+    now = Scratch(edges.sparkSession).write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -325,7 +325,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v"))).distinct()
-        now = materialise(small, name)
+        now = Scratch(edges.sparkSession).write(small, name)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (seen["n"], seen["x"]) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -342,24 +342,24 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.count()
     bits = max(5, math.ceil(math.log2(max(1, rows / 1024))))
-    with small_batches(docs.sparkSession):
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2000):
         counts = _counts(docs, text_col, rows, bits, frequent_above, most_frequent)
-        index = materialise(_index(docs, id_col, text_col, percent, bits, counts), "join-index")
-    compared = materialise(index.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-first")
-    with small_batches(docs.sparkSession):
-        edges = materialise(_verified(compared, docs, text_col, percent), "join-links")
+        index = Scratch(docs.sparkSession).write(_index(docs, id_col, text_col, percent, bits, counts), "join-index")
+    compared = Scratch(docs.sparkSession).write(index.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-first")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2000):
+        edges = Scratch(docs.sparkSession).write(_verified(compared, docs, text_col, percent), "join-links")
     known = components(edges)
     # The lists that hold sets of several components; sets that link to nothing are their own.
     entries = index.where(F.col("kind") == ENTRY).select("token", "a", "n", "place").join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = materialise(entries.join(mixed, "token", "left_semi"), "join-open")
+    open_ = Scratch(docs.sparkSession).write(entries.join(mixed, "token", "left_semi"), "join-open")
     one, two = (open_.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("a", "n", "place", "component"))) for i in (1, 2))
     may = _may_link(F.col("n1").cast("long"), F.col("place1"), F.col("n2").cast("long"), F.col("place2"), percent)
     more = one.join(two, "token").where((F.col("a1") < F.col("a2")) & (F.col("component1") != F.col("component2")) & may).select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
-    more = materialise(more.join(compared, ["a", "b"], "left_anti"), "join-more")
+    more = Scratch(docs.sparkSession).write(more.join(compared, ["a", "b"], "left_anti"), "join-more")
     if not more.isEmpty():
-        with small_batches(docs.sparkSession):
-            further = materialise(_verified(more, docs, text_col, percent), "join-links")
+        with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2000):
+            further = Scratch(docs.sparkSession).write(_verified(more, docs, text_col, percent), "join-links")
         known = components(edges.unionByName(further))
     sets = index.where(F.col("kind") == DOC).select("id", "a", "n")
     by_set = sets.where("a is not null").groupBy("a").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
@@ -377,11 +377,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that repeat an id and its text count once, unless the text has no words: such rows link with nothing and
     all stay. So do rows without an id, and rows of one id whose texts differ, if that id is the smallest.
     """
-    linked = materialise(link_documents(docs, id_col, text_col, **options).withColumnRenamed(id_col, "id"), "join-components")
-    gone = materialise(linked.where("component_id != id").select("id").distinct(), "join-gone")
+    linked = Scratch(docs.sparkSession).write(link_documents(docs, id_col, text_col, **options).withColumnRenamed(id_col, "id"), "join-components")
+    gone = Scratch(docs.sparkSession).write(linked.where("component_id != id").select("id").distinct(), "join-gone")
     again = linked.where("n_shingles > 0 and component_id = id").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     # Only rows that the bitmap may hold meet the exact joins; the others pass without a shuffle.
-    bitmap = Bitmap(materialise(gone.unionByName(again), "join-touched"), "id")
+    bitmap = Bitmap(Scratch(docs.sparkSession).write(gone.unionByName(again), "join-touched"), "id")
     flag = own_name(docs, "_maybe")
     marked = docs.withColumn(flag, F.coalesce(bitmap.may_hold(F.col(id_col)), F.lit(False)))
     sure = marked.where(~F.col(flag)).drop(flag)

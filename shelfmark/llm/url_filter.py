@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, own_name, read_table
+from .common import Scratch, own_name, read_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query.
@@ -112,7 +112,7 @@ def learn_templates(urls: DataFrame, *, depth: int = 8, children: int = 30, shar
     prior = (total["b"] + 0.5 * smoothing) / (total["l"] + smoothing)
     hosts = counted.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     purity = hosts.select("host", ((F.col("b") + smoothing * prior) / (F.col("l") + smoothing)).alias("purity"))
-    now = materialise(parts.join(purity, "host").withColumn("template", F.lit("")), "url-level")
+    now = Scratch(urls.sparkSession).write(parts.join(purity, "host").withColumn("template", F.lit("")), "url-level")
     deepest = now.agg(F.max(F.size("parts"))).first()[0] or 0
     for level in range(deepest):
         rows = now.withColumn("segment", F.get("parts", F.lit(level))).withColumn("next", _class_of(F.get("parts", F.lit(level + 1))))
@@ -137,7 +137,7 @@ def learn_templates(urls: DataFrame, *, depth: int = 8, children: int = 30, shar
         grown = named.join(below, ["host", "to"]).select(
             "host", "shape", "parts", "n", "labelled", "blocked", ((F.col("b") + smoothing * F.col("purity")) / (F.col("l") + smoothing)).alias("purity"), F.col("to").alias("template")
         )
-        now = materialise(grown.unionByName(rows.where("segment is null").select(*grown.columns)), "url-level")
+        now = Scratch(urls.sparkSession).write(grown.unionByName(rows.where("segment is null").select(*grown.columns)), "url-level")
     return now.select("host", "shape", "template", F.col("n").alias("urls"), "labelled", "blocked", "purity")
 
 
