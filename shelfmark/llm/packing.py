@@ -126,7 +126,7 @@ class Encoder:
     are remembered.
     """
 
-    def __init__(self, tokenizer: str, most: int = 400_000, longest: int = 48) -> None:
+    def __init__(self, tokenizer: str, most: int = 1_000_000, longest: int = 48) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -136,8 +136,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         before = form.get("pre_tokenizer") or {}
         self.by_pieces = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not form.get("normalizer") and not form.get("post_processor")
-        special = [re.escape(t["content"]) for t in form.get("added_tokens", ())]
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *special]))
+        added = form.get("added_tokens", ())
+        self.whole = re.compile("|".join(["[\x1c-\x1f]", *(re.escape(t["content"]) for t in added)]))
+        self.between = next(((t["content"], t["id"]) for t in added if t["special"] and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"])), None)
         self.known: dict[str, bytes] = {}
         self.most, self.longest = most, longest
 
@@ -145,6 +146,17 @@ class Encoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids. What stands between special tokens is encoded by itself, so one call does for all."""
+        if not self.between or not pieces:
+            return self._direct(pieces)
+        token, number = self.between
+        ids = np.frombuffer(self._direct([token.join(pieces)])[0], "<u4")
+        ends = np.append(np.flatnonzero(ids == number), len(ids))
+        starts = np.append(0, ends[:-1] + 1)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.by_pieces:
             return self._direct(texts)
@@ -153,7 +165,7 @@ class Encoder:
         if len(self.known) > self.most:
             self.known.clear()
         fresh = list(set().union(*pieces.values()).difference(self.known))
-        found = dict(zip(fresh, self._direct(fresh)))
+        found = dict(zip(fresh, self._pieces(fresh), strict=True))
         short = {p: ids for p, ids in found.items() if len(p) <= self.longest}
         self.known.update(short)
         long = {p: ids for p, ids in found.items() if len(p) > self.longest}
