@@ -1,13 +1,17 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary text, one on the toxic material of toxic text
-(words that stand in significantly more contexts there than in ordinary text). A window that gets shorter when
-the toxic dictionary joins the ordinary one holds toxic material. Both dictionaries share the ordinary part, so
-ordinary windows compress alike and the difference is nearly free of noise. A document's window differences, for
-windows of several sizes, give a few figures (largest, mean, shares and counts above several cuts), whose
-logistic weights and threshold are calibrated on the same labelled sample.
-
-Only that sample, bounded by parameters, comes to the driver. Scoring is a projection over whole texts.
+Two zstandard dictionaries are trained: one on windows of ordinary text, one on the toxic passages of toxic text.
+The toxic dictionary goes behind the ordinary one, so both compressors know ordinary text alike: a window that
+gets shorter when the toxic dictionary is there holds toxic material, and ordinary windows differ by nearly nothing.
+How much evidence a saving of so many bytes is, is calibrated on labelled texts that no dictionary was trained
+on: the log ratio of its shares among windows of toxic and ordinary text. A document's evidence is the sum over
+its windows, less what their number alone would bring; a logistic curve makes it a score with the threshold at 0.5.
+
+Passages: most words of a toxic text are ordinary, and a dictionary trained on all of them spends itself on
+those. So the trainer is given the spans whose words or beginnings of words stand in significantly more contexts in
+toxic than in ordinary text.
+
+Only a sample bounded by parameters comes to the driver. Scoring is a projection over whole texts.
 """
 
 from __future__ import annotations
@@ -17,7 +21,6 @@ from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .learning import best_cut, class_weights, in_training, labelled_sample, logistic, sigmoid
 
-#: Bytes by which the toxic dictionary shortens a window, at which windows are counted.
-CUTS = (2, 3, 4, 5, 6, 8)
 EDGES = b".,;:!?\"'()[]"
+#: Bytes saved in a window, from none to the most that is told apart.
+MOST = 12
 
 
 @dataclass(frozen=True)
@@ -39,10 +42,10 @@ class ToxicityModel:
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    windows: tuple[int, ...] = (8, 12, 16)
-    mean: tuple[float, ...] = ()
-    scale: tuple[float, ...] = ()
-    weights: tuple[float, ...] = ()
+    window: int = 12
+    evidence: tuple[float, ...] = ()
+    for_each: float = 0.0
+    slope: float = 1.0
     cut: float = 0.0
     constant: float | None = None
 
@@ -72,26 +75,16 @@ def _pair(ordinary: bytes, toxic: bytes) -> tuple[zstandard.ZstdCompressor, zsta
     return _compressor(ordinary), _compressor(ordinary + toxic)
 
 
-def _features(words: list[bytes], ordinary: bytes, toxic: bytes, sizes: tuple[int, ...]) -> list[float]:
-    return [x for size in sizes for x in _figures(words, ordinary, toxic, size)]
+def _savings(words: list[bytes], ordinary: bytes, toxic: bytes, window: int) -> np.ndarray:
+    """Bytes by which the toxic dictionary shortens each window, from 0 to ``MOST``."""
+    alone, both = (c.compress for c in _pair(ordinary, toxic))
+    return np.clip([len(alone(w)) - len(both(w)) for w in _windows(words, window)], 0, MOST)
 
 
-def _figures(words: list[bytes], ordinary: bytes, toxic: bytes, window: int) -> list[float]:
-    plain, both = (c.compress for c in _pair(ordinary, toxic))
-    windows = _windows(words, window)
-    alone = [len(plain(w)) for w in windows]
-    gain = np.array([a - len(both(w)) for a, w in zip(alone, windows)], float)
-    ratio = sum(alone) / max(1, sum(map(len, windows)))
-    n, top = len(gain), np.sort(gain)[::-1][:3]
-    counts = [(gain >= k).sum() for k in CUTS]
-    base = [top[0], top.mean(), gain.mean(), *(c / n for c in counts)]
-    return [*base, *(math.log1p(c) for c in counts), math.log1p(n), 1 / math.sqrt(n), *(b / math.sqrt(n) for b in base), *(b * b for b in base), ratio, *(b * ratio for b in base)]
-
-
-def _train(size: int, samples: list[bytes], segment: int) -> bytes:
+def _train(size: int, samples: list[bytes], segment: int, unit: int) -> bytes:
     """A dictionary of the samples; as they are where zstandard finds them too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=unit).as_bytes()[-size:]
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -108,48 +101,63 @@ def _contexts(texts: Iterable[bytes]) -> tuple[int, dict[bytes, int]]:
     return max(1, len(found)), dict(zip(ids, counts.tolist()))
 
 
-def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, windows: tuple[int, ...] = (8, 12, 16), ordinary_size: int = 16384, toxic_size: int = 400, strongest: int = 300, deviations: float = 3.0, purity: float = 5.0, train_windows: int = 60_000) -> ToxicityModel:
-    """Trains on ``(text, label)``; ``counts``: how many rows have each label in all."""
-    texts = [(t.encode().lower(), y) for t, y in sample]
-    y = np.array([y for _, y in texts], float)
-    if not 0 < y.sum() < len(y):
-        return ToxicityModel(constant=float(y[0]) if len(y) else 0.0)
-    # A word's contexts are the words before it, so that copies of a text count once. Beginnings of words count
-    # beside whole words, for stems that take many endings.
-    (toxic_size_, toxic_words), (ordinary_size_, ordinary_words) = (_contexts(t for t, label in texts if label == own) for own in (1, 0))
+def _marks_of(toxic: list[bytes], ordinary: list[bytes], deviations: float, purity: float, least: int) -> set[bytes]:
+    """Words and beginnings of words in significantly more contexts of toxic than of ordinary text.
+
+    A word's contexts are the words before it, so that copies of a text count once. Beginnings count beside whole
+    words, for stems that take many endings; one stays if no longer mark, and no single word, accounts for most of it.
+    """
+    (toxic_size, toxic_words), (ordinary_size, ordinary_words) = _contexts(toxic), _contexts(ordinary)
     seen = Counter()
     for word, n in toxic_words.items():
         for mark in _marks(word):
             seen[mark] += n
-    seen = {mark: n for mark, n in seen.items() if n >= 10 and mark.strip()}
+    seen = {mark: n for mark, n in seen.items() if n >= least and mark.strip()}
     plain = dict.fromkeys(seen, 0)
     for word, n in ordinary_words.items():
         for mark in _marks(word):
             if mark in plain:
                 plain[mark] += n
-    del ordinary_words
-    excess = lambda m: (seen[m] - deviations * math.sqrt(seen[m])) / toxic_size_ - purity * (plain[m] + 2 * math.sqrt(plain[m] + 1)) / ordinary_size_
-    marked = sorted((m for m in seen if excess(m) > 0), key=lambda m: (excess(m), m))
-    # A beginning stays if no longer mark, and no single word, accounts for most of it.
+    excess = lambda m: (seen[m] - deviations * math.sqrt(seen[m])) / toxic_size - purity * (plain[m] + 2 * math.sqrt(plain[m] + 1)) / ordinary_size
     most = Counter()
     for mark, n in seen.items():
         for shorter in _marks(mark.strip())[1:] if mark.endswith(b" ") else [mark[:-1]]:
             if shorter != mark:
                 most[shorter] = max(most[shorter], n)
-    marked = [m for m in marked if m.endswith(b" ") or most[m] <= 0.6 * seen[m]]
-    known = set(marked)
-    spans = [b" %b " % w for text, label in texts if label for w in (x.strip(EDGES) for x in text.split()) if not known.isdisjoint(_marks(w))]
-    total = sum(text.count(b" ") + 1 for text, label in texts if not label) // windows[0] + 1
-    ordinary_windows = islice((w for text, label in texts if not label for w in _windows(text.split(), windows[0]) if w), 0, None, math.ceil(total / train_windows))
-    ordinary = _train(ordinary_size, list(ordinary_windows) or [b" "], 64)
-    # The trainer cuts strings at its segment length; the strongest follow whole, the very strongest last.
-    toxic = _train(toxic_size, spans or [b" "], 16)[-toxic_size:] + b"".join(marked[-strongest:]) + b" "
-    raw = np.array([_features(text.split(), ordinary, toxic, windows) for text, _ in texts])
-    mean, scale = raw.mean(0), raw.std(0) + 1e-9
-    x = np.c_[(raw - mean) / scale, np.ones(len(raw))]
+    return {m for m in seen if excess(m) > 0 and (m.endswith(b" ") or most[m] <= 0.6 * seen[m])}
+
+
+def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, window: int = 12, ordinary_size: int = 16384, toxic_size: int = 3000, segment: int = 24, unit: int = 8, deviations: float = 3.0, purity: float = 5.0, least: int = 10) -> ToxicityModel:
+    """Trains on ``(text, label)``; ``counts``: how many rows have each label in all.
+
+    Every fifth text of a label calibrates, the others train the dictionaries; copies of a text are one. ``segment`` and
+    ``unit`` are the trainer's. Windows, sizes and those two were chosen by cross-validation among training rows.
+    """
+    texts = [(t, y) for t, y in dict.fromkeys((t.encode().lower(), y) for t, y in sample)]
+    labels = {y for _, y in texts}
+    if labels != {0, 1}:
+        return ToxicityModel(constant=float(labels.pop()) if labels else 0.0)
+    train, calibrate = ([x for own in (0, 1) for i, x in enumerate(t for t in texts if t[1] == own) if (i % 5 == 4) == late] for late in (False, True))
+    if {y for _, y in calibrate} != {0, 1}:
+        train = calibrate = texts
+    ordinary_texts, toxic_texts = ([t for t, y in train if y == own] for own in (0, 1))
+    marks = _marks_of(toxic_texts, ordinary_texts, deviations, purity, least)
+    passages = [b" %b " % w for t in toxic_texts for w in (x.strip(EDGES) for x in t.split()) if not marks.isdisjoint(_marks(w))]
+    ordinary = _train(ordinary_size, [w for t in ordinary_texts for w in _windows(t.split(), 8) if w] or [b" "], 64, 6)
+    toxic = _train(toxic_size, passages or [b" "], segment, unit)
+    saved = [_savings(t.split(), ordinary, toxic, window) for t, _ in calibrate]
+    y = np.array([y for _, y in calibrate], float)
+    shares = np.ones((2, MOST + 1))
+    for own, label in zip(saved, y):
+        shares[int(label)] += np.bincount(own, minlength=MOST + 1)
+    shares /= shares.sum(1, keepdims=True)
+    # Larger savings are never less evidence; a saving of up to one byte, what ordinary windows have by chance, is none.
+    evidence = np.maximum.accumulate(np.maximum(np.log(shares[1] / shares[0]), 0) * (np.arange(MOST + 1) > 1))
+    for_each = float((shares[1] - shares[0])[2:].sum())
+    raw = np.array([evidence[s].sum() - for_each * len(s) for s in saved])
     weight = class_weights(y, counts)
-    w = logistic(x, y, weight)
-    return ToxicityModel(ordinary, toxic, windows, tuple(mean), tuple(scale), tuple(w), best_cut(x @ w, y, weight))
+    slope = max(float(logistic(np.c_[raw / 10, np.ones(len(raw))], y, weight)[0]) / 10, 1e-3)
+    return ToxicityModel(ordinary, toxic, window, tuple(evidence), for_each, slope, best_cut(raw, y, weight))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, positives: int = 1200, negatives: int = 3600, **options) -> ToxicityModel:
@@ -160,9 +168,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_text(text: str | None, model: ToxicityModel) -> float:
     if model.constant is not None:
         return model.constant
-    raw = np.array(_features(_words(text or ""), model.ordinary, model.toxic, model.windows))
-    x = np.append((raw - model.mean) / model.scale, 1.0)
-    return float(sigmoid(x @ model.weights - model.cut))
+    saved = _savings(_words(text or ""), model.ordinary, model.toxic, model.window)
+    raw = np.array(model.evidence)[saved].sum() - model.for_each * len(saved)
+    return float(sigmoid(model.slope * (raw - model.cut)))
 
 
 def toxicity(text: Column, model: ToxicityModel) -> Column:
