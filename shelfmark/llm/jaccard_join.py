@@ -2,22 +2,26 @@
 
 Two documents link if their shingle sets have a Jaccard similarity of at least ``percent`` in 100. Linked sets
 share one of the first ``n - ceil(percent * n / 100) + 1`` shingles of each in any common order, so the lists of
-an index of those prefixes hold every pair. Two relations between sets keep the lists from being paired out:
+an index of those prefixes hold every pair. Relations between sets keep the lists from being paired out:
 
-* Positions: an entry carries its set's size and its place in the set's order. Where the shingles that are left
-  after the two places can't make up the overlap, or the sizes are too far apart, the pair is skipped.
 * Computed answers: in every list, sets are first compared with one set only, that of the earliest place, which
   is the least changed of a group of near copies. A set that links to it takes over its answers: it joins its
-  component, and from then on only sets of different components are compared, in the lists that still hold
-  any. So a group of copies costs about one comparison a set, not one a pair.
+  component, and from then on only sets of different components are compared. What was computed also answers for
+  pairs that were not compared: two sets share no more than what both share with the first one and what both have
+  besides it, and a pair whose bound is too low is left out.
+* Block skipping: the lists that still hold several components are cut into blocks by size, place and a salt. Two
+  blocks of a list are skipped as a whole where their sizes and places rule out every pair, or where they hold
+  one component only. One side of a pair is never of the list's largest component, so a group of near copies
+  isn't paired with itself. Only the pairs of blocks that remain are paired out, each pair of blocks by itself.
 
 The order puts rare shingles first (by hash) and frequent ones last (by document frequency, then hash), so
 passages that many documents share head no prefix unless a document has little else. Frequencies are counted
 over all documents; which of them are listed as frequent only affects speed.
 
-Every step is a shuffle by hash range, list, set or component. Sets with equal shingles are one set from the
-start. What is broadcast is bounded: at most ``most_frequent`` frequent shingles, and bitmaps of at most 2 ** 28 bits
-that only save shuffling. Shingles and sets are known by 64-bit hashes.
+Every step is a shuffle by hash range, list, block, set or component; lists that may be long are dealt out by a salt,
+and so are the members of a component. Sets with equal shingles are one set from the start. What is broadcast is
+bounded: at most ``most_frequent`` frequent shingles, and bitmaps of at most 2 ** 28 bits that only save
+shuffling. Shingles are known by 64-bit hashes, sets by 128-bit hashes of theirs.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +45,14 @@ from .shingles import shingle_set, words_of
 DOC, ENTRY, PAIR = 0, 1, 2
 
 
-def _node(hashes: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+def _node(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def _nodes(ids: np.ndarray) -> pa.Array:
+    """Rows of two 64-bit halves as 16 bytes each."""
+    n = len(ids)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((16 * np.arange(n + 1)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
 def _rows(batches: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tuple]:
@@ -52,13 +63,10 @@ def _rows(batches: Iterator[pa.RecordBatch], chunk: int = 256) -> Iterator[tuple
 
 
 class Bitmap:
-    """A bounded filter for 64-bit ids: never false for an id that it was built from.
-
-    ``hashed``: the ids are hashes themselves, so their low bits are their places.
-    """
+    """A bounded filter for ids of any type: never false for an id that it was built from."""
 
-    def __init__(self, ids: DataFrame, col: str, hashed: bool = False, most_bits: int = 1 << 28) -> None:
-        n, self.hashed = ids.count(), hashed
+    def __init__(self, ids: DataFrame, col: str, most_bits: int = 1 << 28) -> None:
+        n = ids.count()
         self.bits = min(most_bits, max(1 << 15, 1 << (16 * n).bit_length()))
         at = self.position(F.col(col)) + 1
         rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
@@ -68,7 +76,11 @@ class Bitmap:
         self.held = ids.sparkSession.sparkContext.broadcast(data)
 
     def position(self, id_col: Column) -> Column:
-        return (id_col if self.hashed else F.xxhash64(id_col)).bitwiseAND(F.lit(self.bits - 1))
+        return F.xxhash64(id_col).bitwiseAND(F.lit(self.bits - 1))
+
+    def position_of(self, data: bytes) -> int:
+        """The same for binary ids, outside of Spark."""
+        return xxhash.xxh64_intdigest(data, 42) & (self.bits - 1)
 
     def may_hold(self, id_col: Column) -> Column:
         held = self.held
@@ -95,7 +107,7 @@ class Counts:
     places: int
 
 
-def _counts(docs: DataFrame, text_col: str, rows: int, bits: int, above: int, most: int) -> Counts:
+def _counts(docs: DataFrame, text_col: str, rows: int, bits: int, above: int, most: int, scratch: Scratch) -> Counts:
     """Counts every shingle of every row; ``above`` and ``most`` bound which are listed as frequent.
 
     The bitmap has a bit for each shingle or so, up to 2 ** 28; beyond that it only tells less.
@@ -142,7 +154,7 @@ def _counts(docs: DataFrame, text_col: str, rows: int, bits: int, above: int, mo
         )
 
     packed = docs.select(text_col).mapInArrow(count, "part int, tokens binary, counts binary")
-    found = Scratch(docs.sparkSession).write(packed.groupBy("part").applyInArrow(total, "part int, token long, n long, marks binary"), "join-counts")
+    found = scratch.write(packed.groupBy("part").applyInArrow(total, "part int, token long, n long, marks binary"), "join-counts")
     often = found.where("token is not null").select("token", "n").orderBy(F.desc("n"), "token").limit(most).toArrow()
     tokens, n = often.column("token").to_numpy().astype(np.uint64), often.column("n").to_numpy()
     order = np.argsort(tokens)
@@ -151,6 +163,7 @@ def _counts(docs: DataFrame, text_col: str, rows: int, bits: int, above: int, mo
     for part, marks in zip(slices.column("part").to_pylist(), slices.column("marks").to_pylist()):
         size = len(marks)
         repeated[part * size : (part + 1) * size] = np.frombuffer(marks, np.uint8)
+    scratch.drop(found)
     return Counts(tokens[order], n[order], repeated, places)
 
 
@@ -167,13 +180,15 @@ def _ordered(hashes: np.ndarray, tokens: np.ndarray, n: np.ndarray, shift: np.ui
     return np.concatenate([hashes[~often], last[np.lexsort((last, n[at[often]]))]])
 
 
-def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int, counts: Counts) -> DataFrame:
+def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int, counts: Counts, list_rows: int) -> DataFrame:
     """One table of three kinds of rows: each row's set; the lists' entries; and the sets compared first.
 
     A list's sets are each compared first with the one of the earliest place, so what is kept as its entries are
-    the others, where there are two or more. Shingles of one row only are left out, as far as the bitmap tells.
-    ``DOC``: ``id, a`` (set, null if empty), ``n``. ``ENTRY``:
-    ``token, a, n, place``. ``PAIR``: ``a, b``.
+    the others, where there are two or more. A list of a shingle that more than ``list_rows`` rows have is dealt
+    out in parts of about as many; each part has its own earliest set, and all are kept. Shingles of one row
+    only are left out, as far as the bitmap tells.
+    ``DOC``: ``id, a`` (set, null if empty), ``n``. ``ENTRY``: ``token, a, n, place, b`` (the earliest set).
+    ``PAIR``: ``a, b``.
     """
     id_type, id_arrow = docs.schema[id_col].dataType.simpleString(), to_arrow_type(docs.schema[id_col].dataType)
     held = docs.sparkSession.sparkContext.broadcast(counts)
@@ -182,7 +197,9 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         top = np.uint64(64 - known.places)
-        seen: set[int] = set()
+        long = known.n > list_rows
+        long_tokens, long_parts = known.tokens[long], -(-known.n[long] // list_rows)
+        seen: set[bytes] = set()
         entries: list[tuple] = []
         docs_: list[tuple] = []
         size = round_ = 0
@@ -193,22 +210,28 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
             if entries:
                 token = np.concatenate([e[0] for e in entries])
                 lengths = [len(e[0]) for e in entries]
-                order = np.argsort(token)
-                columns = (token, np.repeat(np.array([e[1] for e in entries], np.int64), lengths), np.repeat(np.array([e[2] for e in entries], np.uint32), lengths), np.concatenate([e[3] for e in entries]))
-                columns = [c[order] for c in columns]
-                cuts = np.searchsorted(columns[0], np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                for k, parts in enumerate(zip(*(np.split(c, cuts) for c in columns))):
-                    if len(parts[0]):
-                        rows.append((k, *(p.tobytes() for p in parts), []))
-            rows.append((round_ % (1 << bits), b"", np.array([d[1] for d in docs_], np.int64).tobytes(), np.array([d[2] for d in docs_], np.uint32).tobytes(), b"", [d[0] for d in docs_]))
+                node = np.repeat(np.frombuffer(b"".join(e[1] for e in entries), np.uint64).reshape(-1, 2), lengths, axis=0)
+                salt = np.zeros(len(token), np.int64)
+                if len(long_tokens):
+                    at = np.minimum(np.searchsorted(long_tokens, token >> shift), len(long_tokens) - 1)
+                    is_long = long_tokens[at] == token >> shift
+                    salt[is_long] = 1 + (node[is_long, 0] % long_parts[at[is_long]].astype(np.uint64)).astype(np.int64)
+                part = (token >> np.uint64(64 - bits)).astype(np.int64)
+                order = np.lexsort((token, salt, part))
+                columns = (token, node, np.repeat(np.array([e[2] for e in entries], np.uint32), lengths), np.concatenate([e[3] for e in entries]))
+                columns, part, salt = [c[order] for c in columns], part[order], salt[order]
+                cuts = np.flatnonzero((part[1:] != part[:-1]) | (salt[1:] != salt[:-1])) + 1
+                for at, *cells in zip(np.append(0, cuts).tolist(), *(np.split(c, cuts) for c in columns)):
+                    rows.append((int(part[at]), int(salt[at]), *(c.tobytes() for c in cells), []))
+            rows.append((round_ % (1 << bits), 0, b"", b"".join(d[1] for d in docs_), np.array([d[2] for d in docs_], np.uint32).tobytes(), b"", [d[0] for d in docs_]))
             round_ += 1
-            types = (pa.int32(), *[pa.binary()] * 4, pa.list_(id_arrow))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["part", "token", "a", "n", "place", "ids"])
+            types = (pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.list_(id_arrow))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["part", "salt", "token", "a", "n", "place", "ids"])
 
         for row, text in _rows(batches):
             own = shingle_set(words_of(text))
             n = len(own)
-            node = _node(own) if n else 0
+            node = _node(own) if n else bytes(16)
             docs_.append((row, node, n))
             if n and node not in seen:
                 seen.add(node)
@@ -224,42 +247,44 @@ def _index(docs: DataFrame, id_col: str, text_col: str, percent: int, bits: int,
         if docs_:
             yield from out()
 
-    def lists(table: pa.Table) -> pa.Table:
+    def lists(key: tuple, table: pa.Table) -> pa.Table:
+        whole_list = key[1].as_py() == 0
         ids = table.column("ids").combine_chunks()
-        whole = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("token", np.uint64), ("a", np.int64), ("n", np.uint32), ("place", np.uint32))]
+        whole = [[np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (("token", np.uint64), ("a", np.uint64), ("n", np.uint32), ("place", np.uint32))]
         is_doc = [not len(t) for t in whole[0]]
-        token, a, n, place = (np.concatenate([x for x, d in zip(c, is_doc) if not d] or [np.zeros(0, k)]) for c, k in zip(whole, (np.uint64, np.int64, np.int64, np.int64)))
-        doc_a, doc_n = (np.concatenate([x for x, d in zip(c, is_doc) if d] or [np.zeros(0, np.int64)]) for c in whole[1:3])
-        order = np.lexsort((a, n, place, token))
+        token, a, n, place = (np.concatenate([x for x, d in zip(c, is_doc) if not d] or [np.zeros(0, k)]) for c, k in zip(whole, (np.uint64, np.uint64, np.uint32, np.uint32)))
+        doc_a, doc_n = (np.concatenate([x for x, d in zip(c, is_doc) if d] or [np.zeros(0, k)]) for c, k in zip(whole[1:3], (np.uint64, np.uint32)))
+        a, doc_a = a.reshape(-1, 2), doc_a.reshape(-1, 2)
+        order = np.lexsort((a[:, 1], a[:, 0], n, place, token))
         token, a, n, place = token[order], a[order], n[order].astype(np.int64), place[order].astype(np.int64)
         # Equal sets from several tasks: the same token, place, size and set follow each other.
-        fresh = np.r_[True, (token[1:] != token[:-1]) | (a[1:] != a[:-1])][: len(token)]
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (a[1:] != a[:-1]).any(1)][: len(token)]
         token, a, n, place = token[fresh], a[fresh], n[fresh], place[fresh]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)])
         many = np.diff(np.r_[first, len(token)])
         hub = np.repeat(first, many)
         is_hub = hub == np.arange(len(token))
-        shared = ~is_hub & (np.repeat(many, many) > 2)
+        shared = (~is_hub & (np.repeat(many, many) > 2)) if whole_list else np.ones(len(token), bool)
         near = ~is_hub & _may_link(n, place, n[hub], place[hub], percent)
-        pairs = np.unique(np.stack([a[near], a[hub[near]]], 1), axis=0) if near.any() else np.zeros((0, 2), np.int64)
+        pairs = np.unique(np.concatenate([a[near], a[hub[near]]], 1), axis=0)
         e, p, d = int(shared.sum()), len(pairs), len(doc_a)
-        nulls = lambda k, t: pa.nulls(k, t)
-        long, int_ = pa.int64(), pa.int32()
+        long, int_, data = pa.int64(), pa.int32(), pa.binary()
         join = lambda *parts: pa.chunked_array([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in parts])
+        empty = pa.array(doc_n == 0)
         return pa.table(
             {
                 "kind": pa.array(np.repeat([DOC, ENTRY, PAIR], [d, e, p]).astype(np.int32)),
-                "id": join(ids.flatten(), nulls(e + p, ids.type.value_type)),
-                "a": join(pa.array(doc_a, long, mask=doc_n == 0), pa.array(a[shared], long), pa.array(pairs[:, 0], long)),
-                "b": join(nulls(d + e, long), pa.array(pairs[:, 1], long)),
-                "token": join(nulls(d, long), pa.array(token[shared].view(np.int64), long), nulls(p, long)),
-                "n": join(pa.array(doc_n.astype(np.int32), int_), pa.array(n[shared].astype(np.int32), int_), nulls(p, int_)),
-                "place": join(nulls(d, int_), pa.array(place[shared].astype(np.int32), int_), nulls(p, int_)),
+                "id": join(ids.flatten(), pa.nulls(e + p, ids.type.value_type)),
+                "a": join(pc.if_else(empty, pa.scalar(None, data), _nodes(doc_a)), _nodes(a[shared]), _nodes(pairs[:, :2])),
+                "b": join(pa.nulls(d, data), _nodes(a[hub[shared]]), _nodes(pairs[:, 2:])),
+                "token": join(pa.nulls(d, long), pa.array(token[shared].view(np.int64), long), pa.nulls(p, long)),
+                "n": join(pa.array(doc_n.astype(np.int32), int_), pa.array(n[shared].astype(np.int32), int_), pa.nulls(p, int_)),
+                "place": join(pa.nulls(d, int_), pa.array(place[shared].astype(np.int32), int_), pa.nulls(p, int_)),
             }
         )
 
-    packed = docs.select(id_col, text_col).mapInArrow(emit, f"part int, token binary, a binary, n binary, place binary, ids array<{id_type}>")
-    return packed.groupBy("part").applyInArrow(lists, f"kind int, id {id_type}, a long, b long, token long, n int, place int")
+    packed = docs.select(id_col, text_col).mapInArrow(emit, f"part int, salt int, token binary, a binary, n binary, place binary, ids array<{id_type}>")
+    return packed.groupBy("part", "salt").applyInArrow(lists, f"kind int, id {id_type}, a binary, b binary, token long, n int, place int")
 
 
 def _may_link(n1, place1, n2, place2, percent: int):
@@ -273,51 +298,51 @@ def _may_link(n1, place1, n2, place2, percent: int):
 
 def _sets(docs: DataFrame, text_col: str, wanted: Bitmap) -> DataFrame:
     """``a, tokens``: the sets that the bitmap may hold, as packed hashes, once each."""
-    held, mask = wanted.held, wanted.bits - 1
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        bits = wanted.held.value
+        seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = []
                 for text in batch.column(0).slice(at, 256).to_pylist():
                     own = shingle_set(words_of(text))
-                    if len(own) and (node := _node(own)) not in seen and held.value[(node & mask) >> 3] >> (node & 7) & 1:
+                    if len(own) and (node := _node(own)) not in seen and bits[(place := wanted.position_of(node)) >> 3] >> (place & 7) & 1:
                         seen.add(node)
                         rows.append((node, own.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["a", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["a", "tokens"])
 
-    return docs.select(text_col).mapInArrow(build, "a long, tokens binary").dropDuplicates(["a"])
+    return docs.select(text_col).mapInArrow(build, "a binary, tokens binary").dropDuplicates(["a"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) -> DataFrame:
-    """The pairs of sets whose similarity, computed from the whole sets, is enough."""
-    wanted = Bitmap(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "a", hashed=True)
+def _compared(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) -> DataFrame:
+    """``a, b, shared, linked``: how many shingles the sets of each pair share, counted in the whole sets."""
+    wanted = Bitmap(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "a")
     sets = _sets(docs, text_col, wanted)  # one shuffle by set id, which both joins use
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("shared int, linked boolean")
+    def compare(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        shared, linked = [], []
         for p, q in zip(x, y):
-            a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = np.concatenate([a, b])
+            both = np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)])
             both.sort(kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            out.append(100 * shared >= percent * (len(both) - shared))
-        return pd.Series(out, dtype="bool")
+            n = int((both[1:] == both[:-1]).sum())
+            shared.append(n)
+            linked.append(100 * n >= percent * (len(both) - n))
+        return pd.DataFrame({"shared": pd.Series(shared, dtype="int32"), "linked": pd.Series(linked, dtype="bool")})
 
     left = sets.select("a", F.col("tokens").alias("x"))
     right = sets.select(F.col("a").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", compare("x", "y").alias("r")).select("a", "b", "r.shared", "r.linked")
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, component`` for the ends of ``edges`` (``a, b``): the smallest node that links reach.
 
     Large-star and small-star steps, a written table each round; they end when the edges no longer change,
     after about as many rounds as the logarithm of the longest chain.
     """
-    now = Scratch(edges.sparkSession).write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), name)
+    now = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "components")
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -325,14 +350,45 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(root.select("u", F.col("m").alias("v"))).distinct()
-        now = Scratch(edges.sparkSession).write(small, name)
+        before, now = now, scratch.write(small, "components")
+        scratch.drop(before)
         seen = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (seen["n"], seen["x"]) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = (seen["n"], seen["x"])
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, frequent_above: int = 8, most_frequent: int = 1_000_000, salts: int = 8) -> DataFrame:
+def _open_pairs(entries: DataFrame, percent: int, block_rows: int, scratch: Scratch) -> DataFrame:
+    """``a, b``: the pairs of sets of different components that may link, by the lists that hold several.
+
+    ``entries``: ``token, a, n, place, component``, and ``b, shared``, the first set that ``a`` was compared with.
+    """
+    each = entries.groupBy("token", "component").agg(F.count("*").alias("k"))
+    mixed = each.groupBy("token").agg(F.max_by("component", "k").alias("largest"), F.sum("k").alias("entries"), F.count("*").alias("components")).where("components > 1")
+    salt = F.pmod(F.xxhash64("a"), F.ceil(F.col("entries") / block_rows))
+    block = F.struct(F.floor(F.log(F.col("n")) * 8).alias("size"), F.floor(16 * F.col("place") / F.col("n")).alias("place"), salt.alias("salt"))
+    open_ = scratch.write(entries.join(mixed.select("token", "largest", "entries"), "token").withColumn("block", block), "join-open")
+    low_high = [f(c).alias(f"{name}_{c}") for c in ("n", "component") for name, f in (("low", F.min), ("high", F.max))]
+    blocks = open_.groupBy("token", "block").agg(*low_high, F.max(F.col("n") - F.col("place")).alias("left"))
+    others = open_.where("component != largest")  # of two components, one at least isn't the largest
+    other_blocks = others.groupBy("token", "block").agg(*low_high, F.max(F.col("n") - F.col("place")).alias("left"))
+    one, two = (b.select("token", *(F.col(c).alias(f"{c}{i}") for c in b.columns if c != "token")) for i, b in ((1, blocks), (2, other_blocks)))
+    col = lambda c: F.col(c).cast("long")
+    sizes = (100 * col("high_n1") >= percent * col("low_n2")) & (100 * col("high_n2") >= percent * col("low_n1"))
+    places = (100 + percent) * F.least(col("left1"), col("left2")) >= percent * (col("low_n1") + col("low_n2"))
+    several = ~((F.col("low_component1") == F.col("high_component1")) & (F.col("low_component2") == F.col("high_component2")) & (F.col("low_component1") == F.col("low_component2")))
+    kept = one.join(two, "token").where(sizes & places & several).select("token", "block1", "block2")
+    names = ("a", "n", "place", "component", "b", "shared", "block")
+    first, second = (x.select("token", *(F.col(c).alias(f"{c}{i}") for c in names)) for i, x in ((1, open_), (2, others)))
+    both = kept.join(second, ["token", "block2"]).join(first, ["token", "block1"])
+    may = _may_link(col("n1"), F.col("place1"), col("n2"), F.col("place2"), percent)
+    # What the two share is shared with the set that both were compared with, or is what both have besides.
+    most = F.least("shared1", "shared2") + F.least(F.col("n1") - F.col("shared1"), F.col("n2") - F.col("shared2"))
+    ruled_out = F.coalesce((F.col("b1") == F.col("b2")) & ((100 + percent) * most.cast("long") < percent * (col("n1") + col("n2"))), F.lit(False))
+    return both.where((F.col("component1") != F.col("component2")) & may & ~ruled_out).select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct()
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 75, frequent_above: int = 8, most_frequent: int = 1_000_000, list_rows: int = 20_000, block_rows: int = 512, salts: int = 8) -> DataFrame:
     """``id_col, n_shingles, component_id``, a row for each row of ``docs``.
 
     ``component_id`` is the smallest id that links reach, the row's own included. A text of fewer than five
@@ -341,33 +397,34 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other. An empty table gives an empty result; other columns are not read.
     """
     rows = docs.count()
-    bits = max(5, math.ceil(math.log2(max(1, rows / 1024))))
-    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2000):
-        counts = _counts(docs, text_col, rows, bits, frequent_above, most_frequent)
-        index = Scratch(docs.sparkSession).write(_index(docs, id_col, text_col, percent, bits, counts), "join-index")
-    compared = Scratch(docs.sparkSession).write(index.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-first")
-    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2000):
-        edges = Scratch(docs.sparkSession).write(_verified(compared, docs, text_col, percent), "join-links")
-    known = components(edges)
-    # The lists that hold sets of several components; sets that link to nothing are their own.
-    entries = index.where(F.col("kind") == ENTRY).select("token", "a", "n", "place").join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    mixed = entries.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_ = Scratch(docs.sparkSession).write(entries.join(mixed, "token", "left_semi"), "join-open")
-    one, two = (open_.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("a", "n", "place", "component"))) for i in (1, 2))
-    may = _may_link(F.col("n1").cast("long"), F.col("place1"), F.col("n2").cast("long"), F.col("place2"), percent)
-    more = one.join(two, "token").where((F.col("a1") < F.col("a2")) & (F.col("component1") != F.col("component2")) & may).select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct()
-    more = Scratch(docs.sparkSession).write(more.join(compared, ["a", "b"], "left_anti"), "join-more")
+    bits = min(24, max(5, math.ceil(math.log2(max(1, rows / 1024)))))
+    scratch = Scratch(docs.sparkSession)
+    small_batches = lambda: settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2000)
+    with small_batches():
+        counts = _counts(docs, text_col, rows, bits, frequent_above, most_frequent, scratch)
+        index = scratch.write(_index(docs, id_col, text_col, percent, bits, counts, list_rows), "join-index")
+    pairs = scratch.write(index.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
+    with small_batches():
+        compared = scratch.write(_compared(pairs, docs, text_col, percent), "join-compared")
+    edges = compared.where("linked").select("a", "b")
+    known = components(edges, scratch)
+    # Sets that link to nothing are their own component.
+    entries = index.where(F.col("kind") == ENTRY).select("token", "a", "n", "place", "b").join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    either_way = compared.select("a", "b", "shared").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    open_ = _open_pairs(entries.join(either_way, ["a", "b"], "left"), percent, block_rows, scratch)
+    more = scratch.write(open_.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
     if not more.isEmpty():
-        with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2000):
-            further = Scratch(docs.sparkSession).write(_verified(more, docs, text_col, percent), "join-links")
-        known = components(edges.unionByName(further))
+        with small_batches():
+            further = scratch.write(_compared(more, docs, text_col, percent).where("linked").select("a", "b"), "join-links")
+        known = components(edges.unionByName(further), scratch)
     sets = index.where(F.col("kind") == DOC).select("id", "a", "n")
     by_set = sets.where("a is not null").groupBy("a").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     grouped = by_set.join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1").select("component", "component_id")
-    answer = grouped.join(least, "component").select("a", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = sets.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    out = salted.join(answer, ["a", "salt"], "left")
+    answer = grouped.withColumn("salt", salt("a")).join(least.withColumn("salt", every_salt), ["component", "salt"]).select("a", "component_id").withColumn("salt", every_salt)
+    out = sets.withColumn("salt", salt("id")).join(answer, ["a", "salt"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
@@ -377,11 +434,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that repeat an id and its text count once, unless the text has no words: such rows link with nothing and
     all stay. So do rows without an id, and rows of one id whose texts differ, if that id is the smallest.
     """
-    linked = Scratch(docs.sparkSession).write(link_documents(docs, id_col, text_col, **options).withColumnRenamed(id_col, "id"), "join-components")
-    gone = Scratch(docs.sparkSession).write(linked.where("component_id != id").select("id").distinct(), "join-gone")
+    scratch = Scratch(docs.sparkSession)
+    linked = scratch.write(link_documents(docs, id_col, text_col, **options).withColumnRenamed(id_col, "id"), "join-components")
+    gone = scratch.write(linked.where("component_id != id").select("id").distinct(), "join-gone")
     again = linked.where("n_shingles > 0 and component_id = id").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     # Only rows that the bitmap may hold meet the exact joins; the others pass without a shuffle.
-    bitmap = Bitmap(Scratch(docs.sparkSession).write(gone.unionByName(again), "join-touched"), "id")
+    touched = scratch.write(gone.unionByName(again), "join-touched")
+    bitmap = Bitmap(touched, "id")
+    scratch.drop(linked, touched)
     flag = own_name(docs, "_maybe")
     marked = docs.withColumn(flag, F.coalesce(bitmap.may_hold(F.col(id_col)), F.lit(False)))
     sure = marked.where(~F.col(flag)).drop(flag)

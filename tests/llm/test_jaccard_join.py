@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.llm.common import Scratch
 from shelfmark.llm.jaccard_join import Bitmap, components, keep_one, link_documents
 from shelfmark.llm.shingles import words_of
 
@@ -57,11 +58,11 @@ def corpus(seed):
     return rows + [(10_001, None), (10_002, ""), (10_003, " \n"), (10_004, ""), rows[5], rows[6], (None, rows[7][1]), (None, "only me here")]
 
 
-@pytest.mark.parametrize("seed,above", [(1, 8), (2, 2), (3, 10**6)])
-def test_matches_brute_force(spark, seed, above):
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"frequent_above": 2, "list_rows": 6, "block_rows": 3}), (3, {"frequent_above": 10**6, "block_rows": 1})])
+def test_matches_brute_force(spark, seed, options):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in link_documents(docs, frequent_above=above).collect())
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in link_documents(docs, **options).collect())
     assert got == brute(rows)
 
 
@@ -100,7 +101,7 @@ def test_empty_table(documents):
 
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.node: r.component for r in components(edges).collect()}
+    got = {r.node: r.component for r in components(edges, Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
@@ -110,3 +111,9 @@ def test_bitmap_holds_what_it_was_built_from(spark):
     held = spark.range(90_000).where(bitmap.may_hold(F.col("id")))
     assert held.where("id % 3 = 0").count() == 30_000
     assert held.count() < 36_000
+
+
+def test_bitmap_positions_are_the_same_outside_of_spark(spark):
+    ids = [bytes([i] * 16) for i in range(200)]
+    bitmap = Bitmap(spark.createDataFrame([(x,) for x in ids], "a binary"), "a")
+    assert all(bitmap.held.value[(at := bitmap.position_of(x)) >> 3] >> (at & 7) & 1 for x in ids)
