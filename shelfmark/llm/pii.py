@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,7 +42,8 @@ LOOKALIKES = dict(
 )
 #: Characters without width.
 HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-LOOKS = re.compile(f"[{''.join(LOOKALIKES)}{HIDDEN}！-～\U0001d400-\U0001d7ff]")
+#: Those, wide and mathematical forms of ASCII, and the decimal digits of other scripts.
+LOOKS = re.compile(f"[{''.join(LOOKALIKES)}{HIDDEN}！-～\U0001d400-\U0001d7ff]|(?![0-9])\\d")
 
 #: Character references and percent codes of the at sign, dot, plus, hyphen and digits.
 CODED = re.compile(r"&(?:#0*(?:64|4[356]|48|49|5[0-7])|#x0*(?:40|2b|2d|2e|3[0-9])|commat|period|plus);|%(?:40|2e|2b)", re.IGNORECASE)
@@ -73,6 +75,8 @@ _BRACKET_DOT = r"\s{0,3}[\[({<]\s?(?:dot|point|punkt|punto|\.)\s?[\])}>]\s{0,3}"
 _WORD_AT, _WORD_DOT = r"\s{1,3}at\s{1,3}", r"\s{1,3}dot\s{1,3}"
 _ANY_DOT = rf"(?:{_BRACKET_DOT}|{_WORD_DOT}|\.)"
 _HIDDEN_DOT = rf"(?:{_BRACKET_DOT}|{_WORD_DOT})"
+# Limits: 64 characters of a name and 63 of a label, as addresses have them; three dots in a name, five labels, and
+# three blanks around a word or bracket. They keep the search linear; a disguise beyond them is not found.
 _NAME, _LABEL = r"[A-Za-z0-9_%+-]{1,64}", r"[A-Za-z0-9-]{1,63}"
 #: A bracketed at, or the word at or a plain @ before a domain with a disguised dot, or the word at before a plain
 #: domain if what precedes it has letters and an inner dot, a digit or an underscore, as in no plain prose.
@@ -82,7 +86,14 @@ ADDRESS = re.compile(
     re.IGNORECASE,
 )
 _ADDRESS_PART = re.compile(rf"(?P<at>{_BRACKET_AT}|{_WORD_AT}|@)|(?P<dot>{_ANY_DOT})|(?P<name>{_NAME})", re.IGNORECASE)
-TRIGGER = re.compile(rf"[\[({{<]\s?(?:at|arroba|ät|@|dot|point|punkt|punto|\.)\s?[\])}}>]|(?:@|\sat\s{{1,3}})[A-Za-z0-9.-]{{1,200}}\s{{1,3}}dot\s|\sat\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]", re.IGNORECASE)
+# Words that stand before "at" in prose, where a lone word before "at ... dot ..." is no name.
+PROSE = frozenset(
+    "look looks looked looking meet meets met meeting see seen saw find finds found finding available hosted located live lives lived living stay stays stayed "
+    "work works worked working arrive arrives arrived start starts started starting stop stops stopped read reads buy bought sell sold shop order ordered visit "
+    "visited call called get gets got be is are was were been being am online published posted listed register registered sign signed log logged apply us me you "
+    "him her it them we they i and or but not only also here there now today then more up out back down again later info information details site page website".split()
+)
+TRIGGER = re.compile(rf"[\[({{<]\s?(?:at|arroba|ät|@|dot|point|punkt|punto|\.)\s?[\])}}>]|(?:@|\sat\s{{1,3}})[A-Za-z0-9.-]{{1,253}}\s{{1,3}}dot\s|\sat\s{{1,3}}[A-Za-z0-9-]{{1,63}}\.[A-Za-z0-9]", re.IGNORECASE)
 
 
 def _luhn(digits: str) -> bool:
@@ -110,7 +121,7 @@ def plain(text: str) -> list[tuple[int, int, int]]:
     """Spans ``(kind, start, stop)`` of the text as it stands, by kind, then start."""
     out = [(0, a, b) for a, b in _emails(text)]
     if DIGIT.search(text):
-        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [(1, *m.span()) for m in IP.finditer(text) if all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and _luhn(digits):
@@ -156,11 +167,11 @@ class Rewritten:
 
 def _look(m: re.Match) -> list[tuple[str, int, int]]:
     c = m[0]
-    if "！" <= c <= "～":
+    if c.isdecimal():
+        new = str(unicodedata.decimal(c))
+    elif "！" <= c <= "～":
         new = chr(ord(c) - 0xFEE0)
     elif c >= "\U0001d400":
-        import unicodedata
-
         new = unicodedata.normalize("NFKC", c)
         new = new if new.isascii() else c
     else:
@@ -183,12 +194,18 @@ def _number(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def _address(m: re.Match) -> list[tuple[str, int, int]]:
-    parts = _ADDRESS_PART.finditer(m[0])
+    parts = list(_ADDRESS_PART.finditer(m[0]))
+    if parts[0][0].lower() in PROSE and parts[1].lastgroup == "at" and parts[1][0].strip().lower() == "at":
+        return [(m[0], *m.span())]
     return [("@" if p.lastgroup == "at" else "." if p.lastgroup == "dot" else p[0], m.start() + p.start(), m.start() + p.end()) for p in parts]
 
 
 def disguised(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Source spans of what only the rewritten text shows and no span of its kind in ``found`` touches."""
+    """Source spans of what only the rewritten text shows.
+
+    No span of its kind in ``found`` touches it, but that an e-mail address may be longer than the part of it that
+    is found in plain: ``b@x.org`` where a letter before the ``b`` is of another script.
+    """
     looks, digits, trigger = not text.isascii() and LOOKS.search(text), DIGITS.search(text), TRIGGER.search(text)
     coded = ("&" in text or "%" in text) and CODED.search(text)
     if not (looks or digits or trigger or coded):
@@ -205,7 +222,8 @@ def disguised(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, i
     for kind, a, b in plain(out.text):
         span = (kind, int(out.start[a]), int(out.stop[b - 1]))
         if out.changed[a:b].any() or span[2] - span[1] != b - a:  # rewritten, or something in it was dropped
-            if not any(k == kind and x < span[2] and span[1] < y for k, x, y in found + added):
+            touched = [(x, y) for k, x, y in found + added if k == kind and x < span[2] and span[1] < y]
+            if not touched or (kind == 0 and all(span[1] <= x and y <= span[2] and (x, y) != span[1:] for x, y in touched)):
                 added.append(span)
     return added
 
