@@ -13,17 +13,18 @@ import hashlib
 import html as html_
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import own_name, read_table
 
 VERSION = "WARC/1.1"
 RESPONSE = "warc_headers map<string,string>, http_head string, payload binary"
-RECORD = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, headers map<string,string>, content binary"
+RECORD = {"warc_type": "string", "record_id": "string", "refers_to": "string", "target_uri": "string", "warc_date": "string", "headers": "map<string,string>", "content": "binary"}
 # Elements whose content is no text, and what only a head gives a meaning. Names end at a word's end, so <header> is no head.
 RAW = re.compile(r"<!--|<(script|style|noscript|template|svg|head|/head|body|frameset|title|noframes|meta|link|base)(?![\w-])", re.IGNORECASE | re.ASCII)
 NEXT = {name: re.compile(rf"<(/?){name}(?![\w-])", re.IGNORECASE | re.ASCII) for name in ("script", "style", "noscript", "title", "noframes")}
@@ -37,6 +38,8 @@ LINES = re.compile(r"\x20?\n\s*")
 TITLE = re.compile(r"<title\b[^<>]*>([^<]*)", re.IGNORECASE)
 LANG = re.compile(r"<html\b[^<>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.IGNORECASE)
 HREF = re.compile(r"<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<>]*)\"|'([^'<>]*)'|([^\s\"'<>]+))", re.IGNORECASE)
+LENGTH = re.compile(r"[0-9]{1,18}")
+CHUNK = re.compile(rb"\s*([0-9A-Fa-f]{1,8})\s*(?:;.*)?", re.DOTALL)
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 
 
@@ -130,21 +133,47 @@ def derived_id(record_id: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {record_id}')}>"
 
 
+def _decoded(payload: bytes, http: dict[str, str]) -> bytes:
+    """The body without its transfer and content codings; as it is where it is not what its headers say."""
+    if "chunked" in http.get("transfer-encoding", "").lower():
+        out, at = [], 0
+        while (end := payload.find(b"\r\n", at)) >= 0 and (m := CHUNK.fullmatch(payload, at, end)) and (size := int(m[1], 16)):
+            out.append(payload[end + 2 : end + 2 + size])
+            at = end + 2 + size + 2
+        payload = b"".join(out) if out else payload
+    coding = http.get("content-encoding", "").lower().strip()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):
+            inflate = zlib.decompressobj(bits)
+            try:
+                return inflate.decompress(payload) + inflate.flush()
+            except zlib.error:
+                continue
+    return payload
+
+
 def derivatives(headers: dict[str, str], http_head: str, payload: bytes) -> list[dict]:
-    """The two records of one response."""
-    source = headers.get("WARC-Record-ID") or ""
+    """The two records of one response. Names of headers are matched in any case.
+
+    A charset that neither the HTTP head nor the first 2,048 bytes of the body name is UTF-8.
+    """
+    given = {k.lower(): v for k, v in headers.items()}
+    source = given.get("warc-record-id") or ""
     http = [tuple(x.strip() for x in line.split(":", 1)) for line in http_head.splitlines()[1:] if ":" in line]
-    declared = CHARSET.search(dict((k.lower(), v) for k, v in http).get("content-type", "")) or CHARSET.search(payload[:2048].decode("latin-1"))
+    named = {k.lower(): v for k, v in http}
+    payload_digest = given.get("warc-payload-digest") or digest(payload)
+    payload = _decoded(payload, named)
+    declared = CHARSET.search(named.get("content-type", "")) or CHARSET.search(payload[:2048].decode("latin-1"))
     try:
         markup = payload.decode(declared[1] if declared else "utf-8", "replace")
     except LookupError:
         markup = payload.decode("utf-8", "replace")
-    payload_digest = headers.get("WARC-Payload-Digest") or digest(payload)
-    kept = {k: headers[k] for k in ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID") if headers.get(k)}
+    kept = {k: given[k.lower()] for k in ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "WARC-Warcinfo-ID") if given.get(k.lower())}
     kept |= {"WARC-Source-Payload-Digest": payload_digest}
-    if headers.get("WARC-Block-Digest"):
-        kept["WARC-Source-Block-Digest"] = headers["WARC-Block-Digest"]
-    ids = {kind: derived_id(source, kind) for kind in ("metadata", "conversion")}
+    if given.get("warc-block-digest"):
+        kept["WARC-Source-Block-Digest"] = given["warc-block-digest"]
+    known_by = source or " ".join([given.get("warc-target-uri") or "", given.get("warc-date") or "", payload_digest])
+    ids = {kind: derived_id(known_by, kind) for kind in ("metadata", "conversion")}
     title, language = TITLE.search(markup), LANG.search(markup)
     fields = [("title", html_.unescape(title[1]).strip() if title else ""), ("language", language[1] if language else ""), ("charset", declared[1] if declared else "utf-8"), ("http-status", http_head.split("\n", 1)[0].strip())]
     fields += [(f"source-{k.lower()}", v) for k, v in http]
@@ -153,20 +182,25 @@ def derivatives(headers: dict[str, str], http_head: str, payload: bytes) -> list
     out = []
     for kind, type_, body, other in (("metadata", "application/warc-fields", described, "conversion"), ("conversion", "text/plain; charset=utf-8", plain_text(markup).encode(), "metadata")):
         own = {"WARC-Type": kind, "WARC-Record-ID": ids[kind], "WARC-Refers-To": source, **kept, "WARC-Related-To": ids[other], "Content-Type": type_, "WARC-Block-Digest": digest(body), "Content-Length": str(len(body))}
-        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": headers.get("WARC-Target-URI"), "warc_date": headers.get("WARC-Date"), "headers": list(own.items()), "content": body})
+        out.append({"warc_type": kind, "record_id": ids[kind], "refers_to": source, "target_uri": given.get("warc-target-uri"), "warc_date": given.get("warc-date"), "headers": list(own.items()), "content": body})
     return out
 
 
 def build_derivatives(responses: DataFrame, keep: list[str]) -> DataFrame:
     """Two rows for each row of ``responses`` (``warc_headers, http_head, payload``): ``keep`` and a record's columns.
 
-    Null headers, head or payload are empty; a response without an id gets derivatives of the empty id, and one
-    without a payload digest is given the digest of its payload. Repeated rows give equal records. An empty
-    table gives an empty result. ``keep`` may not name a record's columns.
+    Null headers, head or payload are empty. The records of a response without an id are known by its target, date
+    and payload, and one without a payload digest is given the digest of its payload as it was sent. Repeated rows
+    give equal records. An empty table gives an empty result. A record's column that ``keep`` names gets an
+    underscore.
     """
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in responses.select(*keep).schema)
+    kept = responses.select(*keep)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     arrow = pa.schema([("warc_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("content", pa.binary())])
 
+    names = [own_name(kept, n) for n in arrow.names]
+    record = ", ".join(f"`{n}` {kind}" for n, kind in zip(names, RECORD.values(), strict=True))
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -176,9 +210,9 @@ def build_derivatives(responses: DataFrame, keep: list[str]) -> DataFrame:
                 index = pa.array([i for i, own in enumerate(rows) for _ in own], pa.int64())
                 flat = [r for own in rows for r in own]
                 made = [pa.array([r[f.name] for r in flat], f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays([*(c.take(index) for c in batch.columns[:k]), *made], names=[*keep, *arrow.names])
+                yield pa.RecordBatch.from_arrays([*(c.take(index) for c in batch.columns[:k]), *made], names=[*keep, *names])
 
-    return responses.select(*keep, "warc_headers", "http_head", "payload").mapInArrow(build, ", ".join(filter(None, (types, RECORD))))
+    return responses.select(*keep, "warc_headers", "http_head", "payload").mapInArrow(build, ", ".join(filter(None, (types, record))))
 
 
 def serialise(headers: list[tuple[str, str]] | dict[str, str], content: bytes) -> bytes:
@@ -200,7 +234,10 @@ def with_members(records: DataFrame, name: str = "member") -> DataFrame:
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of a WARC file, compressed or not."""
+    """Headers and block of every record of a WARC file, compressed or not.
+
+    A record without a valid length goes up to the next one.
+    """
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     at = 0
@@ -210,9 +247,13 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         lines = data[start:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers.get("Content-Length") or 0)
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        length = next((v for k, v in headers.items() if k.lower() == "content-length"), "")
+        if LENGTH.fullmatch(length):
+            at = end + 4 + int(length)
+        else:
+            at = data.find(b"\r\n\r\nWARC/", end + 2)
+            at = at if at >= 0 else len(data)
+        yield headers, data[end + 4 : at]
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
@@ -221,7 +262,7 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                rows = [(list(h.items()), *block.partition(b"\r\n\r\n")[::2]) for h, block in parse(data) if h.get("WARC-Type") == "response"]
+                rows = [(list(h.items()), *block.partition(b"\r\n\r\n")[::2]) for h, block in parse(data) if any(k.lower() == "warc-type" and v.lower() == "response" for k, v in h.items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r[1].decode("latin-1") for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.binary())], names=["warc_headers", "http_head", "payload"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, RESPONSE)
