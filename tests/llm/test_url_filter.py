@@ -3,7 +3,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from shelfmark.llm.url_filter import CLASSES, RULES, filter_urls, learn_templates, merge_branches
+from shelfmark.llm.url_filter import CLASSES, RULES, filter_urls, learn_templates, merge_branches, shape_of
 
 URLS = [None, "", "nohost", "http://", "HTTP://EX.Org", "http://a.ORG/", "http://example.org/es/x", "http://www.example.org/es/", "http://notexample.org/es/1", "http://example.org/en/12?x#y", "http://example.org/en/21", "http://org/", "http://com/fr/1", "https://x.com/de/9#z", "http://x.com?/de/", "http://x.com#://y.org/", "ftp://u:p@x.com:80/de/a b", "http://x.net/a/b/c/d/e/f/g/h/i/j/k", "a://b\n://c.org/x", "http://é.com/fr/é"]
 
@@ -60,8 +60,26 @@ def test_learned_templates_decide_where_no_rule_fits(spark):
     assert all((r.verdict == "block") == (r.page_id % 3 == 0) for r in out)
 
 
+def test_hosts_without_labels_are_judged_by_what_their_paths_mean_elsewhere(spark):
+    rows = [(f"h{k}.org", f"/{lang}/{i}", int(lang == "es")) for k in range(4) for lang in ("es", "en", "fr") for i in range(10)]
+    rows += [("new.net", f"/{lang}/{i}", None) for lang in ("es", "en", "xx") for i in range(5)]
+    urls = spark.createDataFrame(rows, "host string, path string, label int")
+    got = {(r.host, r.shape): r.purity for r in learn_templates(urls).collect()}
+    assert got["new.net", "/es/{num}"] > 0.7 > 0.3 > got["new.net", "/en/{num}"]
+    assert 0.1 < got["new.net", "/xx/{num}"] < 0.7
+
+
+def test_shapes_and_odd_urls(spark):
+    paths = ["/a/some-long_slug-here.html", "/" + "x" * 40, "/2024/05/06/x", "/deadbeef-0123-4567-89ab/", "/short-one/7", "/" + "a/" * 5000, ""]
+    got = [r.s for r in spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p string").orderBy("i").select(shape_of(F.col("p")).alias("s")).collect()]
+    assert got == ["/a/{slug}", "/{slug}", "/{date}/x", "/{hex}/", "/short-one/{num}", paths[5], ""]
+    pages = spark.createDataFrame([(i, "http://h.org" + paths[i % len(paths)], i) for i in range(70)], "page_id long, url string, salt int")
+    out = filter_urls(pages, rules=RULES)
+    assert out.count() == 70 and out.columns == ["page_id", "url", "salt", "url_verdict"]
+
+
 def test_merging_needs_like_rates_and_like_children():
-    row = lambda s, labelled, blocked, **kinds: {"segment": s, "n": 100, "labelled": labelled, "blocked": blocked, **dict.fromkeys(CLASSES, 0), **kinds}
+    row = lambda s, labelled, blocked, **kinds: {"segment": s, "n": 100, "labelled": labelled, "blocked": blocked, "hoped": 50.0, **dict.fromkeys(CLASSES, 0), **kinds}
     frame = pd.DataFrame([row("a", 50, 0, number=100), row("b", 50, 1, number=100), row("c", 50, 50, number=100), row("d", 50, 0, file=100), row("e", 0, 0, number=100)])
     assert dict(merge_branches(frame).values) == {"a": "{a|b}", "b": "{a|b}", "c": "c", "d": "d", "e": "e"}
 
