@@ -12,9 +12,10 @@ def in_training(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positives: int, negatives: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, positives: int, negatives: int, longest: int = 50_000) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """At most so many texts of label 1 and 0, those of the smallest hashes of their ids, in that order; and how
-    many rows have each label. Rows without id or label are left out, a null text is empty.
+    many rows have each label. Rows without id or label are left out, a null text is empty. Texts of more than
+    ``longest`` characters teach nothing (they are scored whole all the same), so the sample's size is bounded.
 
     The ids are so few that they are broadcast; the sample is all that comes to the driver.
     """
@@ -22,7 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
     chosen = known.where("label = 1").orderBy(*order).limit(positives).unionByName(known.where("label = 0").orderBy(*order).limit(negatives))
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).orderBy(*order).select("text", "label").collect()
+    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= longest).join(F.broadcast(chosen), id_col).dropDuplicates([id_col]).orderBy(*order).select("text", "label").collect()
     return [(r["text"], r["label"]) for r in rows], counts
 
 

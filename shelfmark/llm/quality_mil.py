@@ -1,17 +1,20 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages. Every passage is encoded (text statistics, then a learned layer), gated
-attention weighs the passages against each other, and the weighted representation is scored. Only documents have
-labels; the attention learns which passages decide.
+A document is a bag of passages. Every passage is encoded by what stands in it alone: its words and their endings in
+hashed counts, and shares of classes of characters, through a learned layer. Gated attention weighs the passages
+against each other, and the weighted representation is scored. Only documents have labels; the attention learns
+which passages decide, and nothing that is counted over a whole document goes round it.
 
 Training is full-batch gradient descent on a bounded labelled sample in the driver. Scoring is a projection over
-whole texts: a passage costs a few vectorised sums over its bytes.
+whole texts: a passage costs a few vectorised sums over its bytes and words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -26,9 +29,19 @@ GROUPS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"012345
 _TABLE = np.zeros(256, np.int64)
 for _i, _g in enumerate(GROUPS, 1):
     _TABLE[list(_g)] = _i
+_DIGITS = bytes(48 if 48 <= i < 58 else i for i in range(256))
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-N_FEATURES = len(GROUPS) + 6
+#: Buckets that words are counted in, and as many for their endings.
+BUCKETS = 64
+N_FEATURES = len(GROUPS) + 3 + 2 * BUCKETS
+
+
+@lru_cache(maxsize=200_000)
+def _buckets(word: bytes) -> tuple[int, int]:
+    """Buckets of a word and of its last three bytes; digits are alike."""
+    word = word.translate(_DIGITS)
+    return crc32(word) % BUCKETS, BUCKETS + crc32(b"$" + word[-3:]) % BUCKETS
 
 
 def passages(text: str, words: int = 64) -> np.ndarray:
@@ -36,7 +49,7 @@ def passages(text: str, words: int = 64) -> np.ndarray:
     data = text.encode()
     tokens = data.lower().split()
     if not tokens:
-        return np.zeros((1, N_FEATURES))
+        return np.zeros((1, N_FEATURES), np.float32)
     b = np.frombuffer(data, np.uint8)
     blank = _BLANK[b]
     first = np.flatnonzero(~blank & np.r_[True, blank[:-1]])[::words]
@@ -50,9 +63,9 @@ def passages(text: str, words: int = 64) -> np.ndarray:
     own = np.array([len(p) for p in parts])
     distinct = np.array([len(set(p)) for p in parts]) / own
     length = np.array([sum(map(len, p)) for p in parts]) / own
-    lines = [x for x in data.split(b"\n") if x.strip()]
-    extra = [distinct, np.log1p(length), np.log1p(own), np.full(k, len(set(tokens)) / len(tokens)), np.full(k, len(set(lines)) / len(lines)), np.full(k, np.log1p(len(tokens)))]
-    return np.c_[counts / size[:, None], np.stack(extra, 1)]
+    at = np.array([_buckets(t) for t in tokens], np.int64) + (np.arange(len(tokens)) // words * (2 * BUCKETS))[:, None]
+    lexical = np.bincount(at.ravel(), minlength=k * 2 * BUCKETS).reshape(k, 2 * BUCKETS)
+    return np.c_[counts / size[:, None], distinct, np.log1p(length), np.log1p(own), np.sqrt(lexical / own[:, None])].astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -86,15 +99,18 @@ def _forward(x: np.ndarray, bag: np.ndarray, n: int, p: dict[str, np.ndarray]) -
     return {"h": h, "v": v, "g": g, "a": a, "z": z, "out": np.c_[z, np.ones(n)] @ p["score"]}
 
 
-def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, *, width: int = 12, steps: int = 250, rate: float = 0.03, decay: float = 1e-4, seed: int = 7) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, *, width: int = 12, steps: int = 150, rate: float = 0.03, decay: float = 1e-3, seed: int = 7) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Parameters by Adam, the features' means and scales, and the bags' scores."""
-    x = np.concatenate(bags)
     bag, n = np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    x = np.c_[np.clip((x - mean) / scale, -8, 8), np.ones(len(x))]
+    x = np.ones((len(bag), bags[0].shape[1] + 1), np.float32)  # the last column is the constant
+    np.concatenate(bags, out=x[:, :-1], casting="same_kind")
+    del bags
+    mean, scale = x[:, :-1].mean(0, dtype=np.float64).astype(np.float32), x[:, :-1].std(0, dtype=np.float64).astype(np.float32) + np.float32(1e-6)
+    for rows in np.array_split(x[:, :-1], max(1, len(x) // 4096)):
+        rows[:] = np.clip((rows - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
     shapes = {"encode": (x.shape[1], width), "value": (width, width), "gate": (width, width), "attend": (width,), "score": (width + 1,)}
-    p = {k: rng.normal(0, 0.3, s) for k, s in shapes.items()}
+    p = {k: rng.normal(0, 0.3 if k != "encode" else 1.2 / x.shape[1] ** 0.5, s).astype(np.float32) for k, s in shapes.items()}
     m, s = ({k: np.zeros(v) for k, v in shapes.items()} for _ in range(2))
     for t in range(1, steps + 1):
         f = _forward(x, bag, n, p)
@@ -110,7 +126,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, weight: np.ndarray, *, width: i
             grad = grad + decay * p[k]
             m[k] = 0.9 * m[k] + 0.1 * grad
             s[k] = 0.999 * s[k] + 0.001 * grad**2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)
+            p[k] = (p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return p, mean, scale, _forward(x, bag, n, p)["out"]
 
 
