@@ -315,10 +315,10 @@ def _sets(docs: DataFrame, text_col: str, wanted: Bitmap) -> DataFrame:
     return docs.select(text_col).mapInArrow(build, "a binary, tokens binary").dropDuplicates(["a"])
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int, salts: int = 32) -> DataFrame:
     """``a, b, shared, linked``: how many shingles the sets of each pair share, counted in the whole sets."""
     wanted = Bitmap(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "a")
-    sets = _sets(docs, text_col, wanted)  # one shuffle by set id, which both joins use
+    sets = _sets(docs, text_col, wanted)  # one shuffle by set id, which both sides use
 
     @F.pandas_udf("shared int, linked boolean")
     def compare(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -331,9 +331,14 @@ def _compared(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int) ->
             linked.append(100 * n >= percent * (len(both) - n))
         return pd.DataFrame({"shared": pd.Series(shared, dtype="int32"), "linked": pd.Series(linked, dtype="bool")})
 
-    left = sets.select("a", F.col("tokens").alias("x"))
-    right = sets.select(F.col("a").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", compare("x", "y").alias("r")).select("a", "b", "r.shared", "r.linked")
+    def joined(rows: DataFrame, own: str, other: str, tokens: str) -> DataFrame:
+        """``rows`` with a side's set; the rows of a set that many are compared with are dealt out by the other side."""
+        dealt = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
+        copies = dealt.select(own, "salt").distinct().join(sets.select(F.col("a").alias(own), F.col("tokens").alias(tokens)), own)
+        return dealt.join(copies, [own, "salt"]).drop("salt")
+
+    both = joined(joined(pairs, "a", "b", "x"), "b", "a", "y")
+    return both.select("a", "b", compare("x", "y").alias("r")).select("a", "b", "r.shared", "r.linked")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
