@@ -44,7 +44,7 @@ def parse_boolean(c: str | Column) -> Column:
 def region_of_state(state: str | Column) -> Column:
     """The region of a state's abbreviation, whatever its case; null for an unknown or null one."""
     code = F.upper(F.trim(col(state)))
-    known = reduce(lambda chain, item: chain.when(code.isin(*item[1].split()), item[0]), REGION_STATES.items(), F.when(F.lit(False), F.lit("")))
+    known = reduce(lambda chain, item: chain.when(code.isin(*item[1]), item[0]), REGION_STATES.items(), F.when(F.lit(False), F.lit("")))
     return known
 
 
@@ -104,6 +104,14 @@ def attribute_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
+def spread(df: DataFrame, key: str, given: Column) -> Column:
+    """A join key that deals rows without a key out over all tasks: the key, or a hash of the row.
+
+    The join's condition must hold ``given`` too, as a hash may happen to be a key.
+    """
+    return F.when(given, F.col(key)).otherwise(F.xxhash64(*df.columns).cast(df.schema[key].dataType))
+
+
 def row_id(path: str | Column, index: str | Column) -> Column:
     """The identity of a row of a file: its path and place, whatever the split it was read in."""
     return F.sha2(F.concat_ws("|", col(path), col(index).cast("string")), 256)

@@ -2,12 +2,12 @@
 
 #: Reporting region of each state, territory and freely associated state, by its postal abbreviation.
 REGION_STATES = {
-    "Northeast": "CT ME MA NH RI VT NJ NY PA",
-    "Midwest": "IL IN MI OH WI IA KS MN MO NE ND SD",
-    "South": "DE FL GA MD NC SC VA WV DC AL KY MS TN AR LA OK TX",
-    "West": "AZ CO ID MT NV NM UT WY AK CA HI OR WA",
-    "US Territories": "PR VI AS GU MP",
-    "Freely Associated States": "FM MH PW",
+    "Northeast": ("CT", "ME", "MA", "NH", "RI", "VT", "NJ", "NY", "PA"),
+    "Midwest": ("IL", "IN", "MI", "OH", "WI", "IA", "KS", "MN", "MO", "NE", "ND", "SD"),
+    "South": ("DE", "FL", "GA", "MD", "NC", "SC", "VA", "WV", "DC", "AL", "KY", "MS", "TN", "AR", "LA", "OK", "TX"),
+    "West": ("AZ", "CO", "ID", "MT", "NV", "NM", "UT", "WY", "AK", "CA", "HI", "OR", "WA"),
+    "US Territories": ("PR", "VI", "AS", "GU", "MP"),
+    "Freely Associated States": ("FM", "MH", "PW"),
 }
 
 #: Accepted spellings of a date; the time of day is dropped.

@@ -45,6 +45,11 @@ def not_month_start(monthly: DataFrame, dates: DataFrame) -> DataFrame:
     return orphans(monthly, "month_date_key", dates.where("day = 1"), "date_key")
 
 
+def issue_sum(daily: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row with the issues that the aggregate sums up to and those there are, if they differ."""
+    return beside(daily.agg(F.coalesce(F.sum("dq_issue_count"), F.lit(0)).alias("n")), issues.agg(F.count("*").alias("m"))).where("n != m")
+
+
 def gold_checks(silver: dict[str, DataFrame], quarantine: dict[str, DataFrame], gold: dict[str, DataFrame], aggs: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Every check of the Gold layer by name."""
     lines = aggregates.sales_lines(gold["fact_invoice"], gold["fact_invoice_item"], gold["dim_product"], gold["dim_date"])
@@ -62,7 +67,7 @@ def gold_checks(silver: dict[str, DataFrame], quarantine: dict[str, DataFrame],
         "store": aggregate_difference(aggregates.store_daily(lines, gold["fact_invoice"]), aggs["agg_store_performance_daily"], GRAINS["agg_store_performance_daily"], [*aggregates.MEASURES, "invoice_count"]),
         "month_start": not_month_start(aggs["agg_product_performance_monthly"], gold["dim_date"]),
         "records_add_up": aggs["agg_data_quality_record_daily"].where("total_records != valid_records + incorrect_records"),
-        "issue_sum": beside(aggs["agg_data_quality_daily"].agg(F.coalesce(F.sum("dq_issue_count"), F.lit(0)).alias("n")), gold["fact_data_quality_issue"].agg(F.count("*").alias("m"))).where("n != m"),
+        "issue_sum": issue_sum(aggs["agg_data_quality_daily"], gold["fact_data_quality_issue"]),
         "dq_population": _population(silver, quarantine, aggs["agg_data_quality_record_daily"]),
     }
     heads = silver["invoices"]

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import not_blank, parse_boolean, parse_date, parse_decimal, parse_long
+from ..functions.expressions import not_blank, parse_boolean, parse_date, parse_decimal, parse_long, spread
 
 CODES = "_dq_codes"
 
@@ -112,8 +112,10 @@ def unique_valid_ids(df: DataFrame, key: str) -> DataFrame:
 
 def with_reference(df: DataFrame, key: str, targets: DataFrame, code: str, applies: Column | None = None) -> DataFrame:
     """The code for rows whose non-blank ``key`` is none of ``targets`` (``_ref``)."""
-    found = df.join(targets.select("_ref", F.lit(True).alias("_found")), F.col(key) == F.col("_ref"), "left")
-    return add_codes(found, Rule(code, (applies if applies is not None else not_blank(key)) & F.col("_found").isNull())).drop("_ref", "_found")
+    given = not_blank(key)
+    dealt = df.withColumn("_key", spread(df, key, given))
+    found = dealt.join(targets.select("_ref", F.lit(True).alias("_found")), given & (F.col("_key") == F.col("_ref")), "left")
+    return add_codes(found, Rule(code, (applies if applies is not None else given) & F.col("_found").isNull())).drop("_key", "_ref", "_found")
 
 
 def severity_of(code: Column) -> Column:

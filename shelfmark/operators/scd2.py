@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import attribute_hash
+from ..functions.expressions import attribute_hash, spread
 from ..functions.fixed_values import FIRST_START, OPEN_END, UNKNOWN_KEY
 from .checks import CheckFailed, require_no_rows, require_unique
-from .keys import next_key, with_small_keys
+from .keys import next_key, with_keys
 
 
 def changes(source: DataFrame, dimension: DataFrame, natural: str, tracked: list[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def merge_scd2(source: DataFrame, dimension: DataFrame, natural: str, key: str,
             "is_current": F.lit(True),
         }
     )
-    opened = with_small_keys(opened, key, [natural], next_key(dimension, key)).select(*dimension.columns)
+    opened = with_keys(opened, key, [natural], next_key(dimension, key)).select(*dimension.columns)
     closing = changed.where("_known").select(F.col(natural).alias("_nk"))
     held = dimension.join(closing, (F.col(natural) == F.col("_nk")) & F.col("is_current"), "left")
     closed = held.withColumn("effective_to", F.when(F.col("_nk").isNotNull(), now).otherwise(F.col("effective_to"))).withColumn("is_current", F.col("is_current") & F.col("_nk").isNull())
@@ -63,10 +63,13 @@ def holds_at(moment: Column, start: str = "effective_from", end: str = "effectiv
 def as_of_join(facts: DataFrame, dimension: DataFrame, natural: str, date: str, take: list[str]) -> DataFrame:
     """``facts`` with the columns ``take`` of the version that held at their date; null where none did.
 
-    An equi-join on the natural key with the interval as a residual condition, so it hashes or sorts on the key.
+    An equi-join on the natural key with the interval as a residual condition, so it hashes or sorts on the key;
+    rows without one are dealt out rather than meeting in one task.
     """
     versions = dimension.select(F.col(natural).alias("_nk"), F.col("effective_from").alias("_from"), F.col("effective_to").alias("_to"), *take)
-    return facts.join(versions, (F.col(natural) == F.col("_nk")) & holds_at(F.col(date).cast("timestamp"), "_from", "_to"), "left").drop("_nk", "_from", "_to")
+    dealt = facts.withColumn("_key", spread(facts, natural, F.col(natural).isNotNull()))
+    held = F.col(natural).isNotNull() & (F.col("_key") == F.col("_nk")) & holds_at(F.col(date).cast("timestamp"), "_from", "_to")
+    return dealt.join(versions, held, "left").drop("_key", "_nk", "_from", "_to")
 
 
 def as_of_matches(facts: DataFrame, dimension: DataFrame, natural: str, date: str, row: list[str]) -> DataFrame:
@@ -81,10 +84,20 @@ def require_single_match(facts: DataFrame, dimension: DataFrame, natural: str, d
 
 
 def overlaps(dimension: DataFrame, natural: str, key: str) -> DataFrame:
-    """Versions that the next one of their entity starts within. One window, linear in the versions."""
-    window = Window.partitionBy(natural).orderBy("effective_from", key)
-    following = dimension.withColumns({"next_key": F.lead(key).over(window), "next_from": F.lead("effective_from").over(window)})
-    return following.where("next_from < effective_to").select(natural, F.col(key).alias("version_key"), "next_key")
+    """All pairs of an entity's versions of which the later starts before the earlier ends.
+
+    A running maximum of their ends cuts the versions into runs that hang together. Only the versions of a run of
+    several are paired, so sound entities cost no join rows.
+    """
+    order = Window.partitionBy(natural).orderBy("effective_from", key)
+    before = F.max("effective_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = dimension.select(natural, F.col(key).alias("_key"), "effective_from", "effective_to", F.when(F.col("effective_from") < before, 0).otherwise(1).alias("_starts"))
+    runs = starts.withColumn("_run", F.sum("_starts").over(Window.partitionBy(natural).orderBy("effective_from", "_key")))
+    several = runs.withColumn("_n", F.count("*").over(Window.partitionBy(natural, "_run"))).where("_n > 1")
+    a, b = (several.select(natural, "_run", *(F.col(c).alias(f"{c}{i}") for c in ("_key", "effective_from", "effective_to"))) for i in (1, 2))
+    later = (F.col("effective_from2") > F.col("effective_from1")) | ((F.col("effective_from2") == F.col("effective_from1")) & (F.col("_key2") > F.col("_key1")))
+    pairs = a.join(b, [natural, "_run"]).where(later & (F.col("effective_from2") < F.col("effective_to1")))
+    return pairs.select(natural, F.col("_key1").alias("version_key"), F.col("_key2").alias("next_key"))
 
 
 def faults(dimension: DataFrame, natural: str, key: str) -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,11 +68,15 @@ def apply_atomicity(headers: DataFrame, lines: DataFrame) -> tuple[DataFrame, Da
     return headers, lines
 
 
-def evaluate(bronze: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All five entities with their final codes."""
-    out = {name: evaluate_dimension(bronze[name], name) for name in KEYS}
-    headers = evaluate_headers(bronze["invoices"], out["stores"], out["customers"])
-    lines = evaluate_lines(bronze["invoice_items"], out["products"], bronze["invoices"])
+def evaluate(bronze: dict[str, DataFrame], settle: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
+    """All five entities with their final codes.
+
+    Headers and lines each need the other's own faults, and both need the dimensions. ``settle`` is given every
+    frame that is read more than once and returns what to read instead, such as a written table.
+    """
+    out = {name: settle(name, evaluate_dimension(bronze[name], name)) for name in KEYS}
+    headers = settle("invoices", evaluate_headers(bronze["invoices"], out["stores"], out["customers"]))
+    lines = settle("invoice_items", evaluate_lines(bronze["invoice_items"], out["products"], bronze["invoices"]))
     out["invoices"], out["invoice_items"] = apply_atomicity(headers, lines)
     return out
 

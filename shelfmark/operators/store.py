@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,16 @@ from ..functions.expressions import all_equal
 from .checks import require_columns, require_no_rows, require_unique
 
 
+@dataclass(frozen=True)
+class Staged:
+    """A table's next version before it is published."""
+
+    name: str
+    part: str
+    schema: StructType
+    frame: DataFrame
+
+
 class TableStore:
     """Tables under ``root``; names may hold slashes, as in ``silver/invoices``."""
 
@@ -109,9 +120,33 @@ class TableStore:
 
     def overwrite(self, name: str, df: DataFrame) -> DataFrame:
         """A new version that holds ``df``, which may read the table itself."""
-        version = self.version(name) + 1
-        self._publish(name, [self._write_part(name, df, version)], df.schema, version)
-        return self.read(name)
+        return self.publish(self.stage(name, df))[0]
+
+    def stage(self, name: str, df: DataFrame) -> Staged:
+        """``df`` written beside the table's live parts; readers don't see it until it is published."""
+        part = self._write_part(name, df, self.version(name) + 1)
+        return Staged(name, part, df.schema, self.spark.read.schema(df.schema).parquet("/".join([self.root, name, part])))
+
+    def publish(self, *staged: Staged) -> list[DataFrame]:
+        """Staged tables become the live ones, each by one rename."""
+        for s in staged:
+            self._publish(s.name, [s.part], s.schema, self.version(s.name) + 1)
+        return [self.read(s.name) for s in staged]
+
+    def vacuum(self, *names: str) -> list[str]:
+        """Removes part folders that no pointer names: replaced versions, and what failed runs left. Returns them.
+
+        For times when nothing reads or writes the tables, as a read pins the parts of its moment.
+        """
+        gone = []
+        for name in names or self.tables():
+            live = set((self._state(name) or {"parts": []})["parts"])
+            for status in self._fs().listStatus(self._path(name)):
+                part = status.getPath().getName()
+                if part.startswith("v=") and part not in live:
+                    self._fs().delete(status.getPath(), True)
+                    gone.append(f"{name}/{part}")
+        return sorted(gone)
 
     def append(self, name: str, df: DataFrame) -> DataFrame:
         """The table and ``df``; what was there is not rewritten."""

@@ -59,14 +59,17 @@ def top_per_group(sales: DataFrame, group: str, column: str, n: int = 5) -> Data
     return totals.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
-def growth(sales: DataFrame, dates: DataFrame, first: str, last: str) -> DataFrame:
-    """Revenue of a period of days and of the equally long one right before it, and the growth; null without one."""
+def growth(sales: DataFrame, dates: DataFrame, first: str, last: str, *columns: str) -> DataFrame:
+    """Revenue of a period of days and of the equally long one right before it, and the growth; null without one.
+
+    ``columns``: for each of their values that sold in either period.
+    """
     days = F.datediff(F.lit(last).cast("date"), F.lit(first).cast("date")) + 1
     d = sales.join(dates.select("date_key", "full_date"), "date_key")
     now = F.col("full_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
     before = F.col("full_date").between(F.date_sub(F.lit(first).cast("date"), days), F.date_sub(F.lit(first).cast("date"), 1))
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("revenue"))), F.lit(0)).cast(MONEY_SUM)
-    return d.where(now | before).agg(total(now).alias("revenue"), total(before).alias("previous_revenue")).withColumn("growth", ratio(F.col("revenue") - F.col("previous_revenue"), "previous_revenue"))
+    return d.where(now | before).groupBy(*columns).agg(total(now).alias("revenue"), total(before).alias("previous_revenue")).withColumn("growth", ratio(F.col("revenue") - F.col("previous_revenue"), "previous_revenue"))
 
 
 def trend(sales: DataFrame, dates: DataFrame, first: str, last: str) -> DataFrame:
@@ -118,6 +121,18 @@ def issues_by(issues: DataFrame, *columns: str) -> DataFrame:
     return issues.groupBy(*columns).agg(F.count("*").alias("issues"), F.count_distinct("source_table", "source_row_id").alias("affected_records"))
 
 
+def dq_trend(issues: DataFrame, dates: DataFrame) -> DataFrame:
+    """Issues and affected records of every day of a calendar, days without any included."""
+    dated = issues.select(F.to_date("quarantine_datetime_utc").alias("full_date"), F.struct("source_table", "source_row_id").alias("record"))
+    each = dated.groupBy("full_date").agg(F.count("*").alias("issues"), F.count_distinct("record").alias("affected_records"))
+    return dates.select("full_date").join(each, "full_date", "left").fillna(0, ["issues", "affected_records"])
+
+
+def dq_by_place(issues: DataFrame) -> DataFrame:
+    """Issues by the state that the row itself names."""
+    return issues.groupBy("source_table", F.get_json_object("source_payload_json", "$.state").alias("state")).agg(F.count("*").alias("issues"))
+
+
 def remediation(issues: DataFrame, rules: DataFrame) -> DataFrame:
     """What has to be mended: an issue with its rule and the row as it came."""
     keep = rules.select("dq_rule_key", "dq_rule_name", "severity")

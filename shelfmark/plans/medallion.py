@@ -1,13 +1,17 @@
 """The whole run: RAW files to Bronze, Silver and quarantine, Gold, aggregates, reconciliation.
 
-A stage reads tables, writes tables, and leaves the old state where it fails. ``as_of`` is the run's one clock.
+A stage reads tables and writes tables. Silver and the dimensions are written aside, checked, and only then
+published, so where a check fails the old state stays. ``as_of`` is the run's one clock.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import FIRST_START, OPEN_END
 from ..operators import aggregates, dims, dqmart, facts, reconcile, scd2, silver
 from ..operators.checks import CheckFailed
 from ..operators.keys import next_key, with_small_keys
@@ -25,9 +29,9 @@ def load_bronze(spark: SparkSession, store: TableStore, raw: str, as_of: str, ta
     return {name: ingest(spark, store, raw, name, as_of) for name in tables or ENTITIES}
 
 
-def evaluate_silver(store: TableStore) -> dict[str, DataFrame]:
+def evaluate_silver(store: TableStore, settle: Callable[[str, DataFrame], DataFrame] = lambda name, df: df) -> dict[str, DataFrame]:
     store.require([f"bronze/{name}" for name in ENTITIES])
-    return silver.evaluate({name: store.read(f"bronze/{name}") for name in ENTITIES})
+    return silver.evaluate({name: store.read(f"bronze/{name}") for name in ENTITIES}, settle)
 
 
 def dry_run(store: TableStore) -> dict[str, DataFrame]:
@@ -42,18 +46,22 @@ def dry_run(store: TableStore) -> dict[str, DataFrame]:
 
 def load_silver(store: TableStore, as_of: str) -> DataFrame:
     """Clean and quarantined tables, both rebuilt from Bronze, so that no row is ever in both. Returns the counts."""
-    ready = evaluate_silver(store)
+    # Written once, so that both sides of the split and the counts see the same evaluation.
+    ready = evaluate_silver(store, lambda name, df: store.overwrite(f"silver/_direct_{name}", df))
+    good, bad = {}, {}
     for name, df in ready.items():
-        # Written once, so that both sides of the split and the counts see the same evaluation.
-        judged = store.overwrite(f"silver/_evaluated_{name}", df)
-        store.overwrite(f"silver/{name}", silver.clean(judged, name))
-        store.overwrite(f"silver/quarantined_{name}", silver.quarantined(judged, name, as_of))
+        judged = store.overwrite(f"silver/_evaluated_{name}", df) if name not in silver.KEYS else df
+        good[name] = store.stage(f"silver/{name}", silver.clean(judged, name))
+        bad[name] = store.stage(f"silver/quarantined_{name}", silver.quarantined(judged, name, as_of))
+    frames = lambda staged: {n: s.frame for n, s in staged.items()}
+    counts = reconcile.bronze_split({n: store.read(f"bronze/{n}") for n in ENTITIES}, frames(good), frames(bad))
+    if wrong := counts.where("not adds_up").collect():
+        raise CheckFailed(f"Bronze is not Silver and quarantine: {[r.asDict() for r in wrong]}")
+    store.publish(*good.values(), *bad.values())
+    for name in ENTITIES:
+        store.drop(f"silver/_direct_{name}")
         store.drop(f"silver/_evaluated_{name}")
-    read = lambda prefix: {n: store.read(f"{prefix}{n}") for n in ENTITIES}
-    counts = reconcile.bronze_split(read("bronze/"), read("silver/"), read("silver/quarantined_"))
-    if bad := counts.where("not adds_up").collect():
-        raise CheckFailed(f"Bronze is not Silver and quarantine: {[r.asDict() for r in bad]}")
-    return counts
+    return reconcile.bronze_split({n: store.read(f"bronze/{n}") for n in ENTITIES}, _silver(store), {n: store.read(f"silver/quarantined_{n}") for n in ENTITIES})
 
 
 def _silver(store: TableStore) -> dict[str, DataFrame]:
@@ -82,18 +90,24 @@ def load_dimensions(store: TableStore, as_of: str) -> None:
     sold = s["invoice_items"].join(s["invoices"].select("invoice_id", "invoice_date"), "invoice_id").groupBy("product_id").agg(F.min("invoice_date").alias("first_seen"))
     named = store.read("gold/dim_category").join(store.read("gold/dim_subcategory"), "category_key").select(F.col("category_name").alias("category"), F.col("subcategory_name").alias("subcategory"), "subcategory_key")
     goods = s["products"].join(named, ["category", "subcategory"], "left").join(sold, "product_id", "left")
+    staged = []
     for name, source, natural in (("customer", people, "customer_id"), ("store", shops, "store_id"), ("product", goods, "product_id")):
-        table = f"gold/dim_{name}"
+        table, key = f"gold/dim_{name}", f"{name}_key"
         # The changed set is computed from a pinned version and written as one new version.
-        store.overwrite(table, scd2.merge_scd2(source, store.read(table).where(F.col(f"{name}_key") != -1), natural, f"{name}_key", TRACKED[f"dim_{name}"], as_of, "first_seen"))
-    anonymous = {"dim_customer": {"customer_id": "NO_CUSTOMER"}}
-    for name, key in (("dim_geography", "geography_key"), ("dim_category", "category_key"), ("dim_subcategory", "subcategory_key"), ("dim_customer", "customer_key"), ("dim_store", "store_key"), ("dim_product", "product_key")):
-        member = dims.default_member(spark, GOLD[name], key, **anonymous.get(name, {}))
-        if "is_current" in member.columns:
-            member = member.withColumns({"effective_from": F.lit("1900-01-01 00:00:00").cast("timestamp"), "effective_to": F.lit("9998-12-31 00:00:00").cast("timestamp"), "is_current": F.lit(True)})
-        store.overwrite(f"gold/{name}", dims.with_default(store.read(f"gold/{name}"), key, member))
-    for name, natural in (("customer", "customer_id"), ("store", "store_id"), ("product", "product_id")):
-        scd2.require_sound(store.read(f"gold/dim_{name}"), natural, f"{name}_key")
+        versions = scd2.merge_scd2(source, store.read(table).where(F.col(key) != -1), natural, key, TRACKED[f"dim_{name}"], as_of, "first_seen")
+        staged.append(store.stage(table, dims.with_default(versions, key, _default(spark, f"dim_{name}", key))))
+        scd2.require_sound(staged[-1].frame, natural, key)
+    for name, key in (("dim_geography", "geography_key"), ("dim_category", "category_key"), ("dim_subcategory", "subcategory_key")):
+        staged.append(store.stage(f"gold/{name}", dims.with_default(store.read(f"gold/{name}"), key, _default(spark, name, key))))
+    store.publish(*staged)
+
+
+def _default(spark: SparkSession, name: str, key: str) -> DataFrame:
+    """The default member of a dimension; that of a type-2 dimension has always held."""
+    member = dims.default_member(spark, GOLD[name], key, **({"customer_id": "NO_CUSTOMER"} if name == "dim_customer" else {}))
+    if "is_current" not in member.columns:
+        return member
+    return member.withColumns({"effective_from": F.lit(FIRST_START).cast("timestamp"), "effective_to": F.lit(OPEN_END).cast("timestamp"), "is_current": F.lit(True)})
 
 
 def _columns(store: TableStore, name: str) -> DataFrame:
@@ -178,4 +192,5 @@ def run(spark: SparkSession, root: str, raw: str, as_of: str) -> DataFrame:
     load_facts(store)
     load_quality_mart(store)
     load_aggregates(store, as_of)
+    store.vacuum()
     return reconcile.report(reconcile_gold(store))

@@ -66,7 +66,7 @@ def parsed_boolean(c: str) -> str:
 
 
 def region_of_state(c: str) -> str:
-    cases = " ".join(f"WHEN upper(trim({c})) IN ({', '.join(repr(s) for s in states.split())}) THEN '{name}'" for name, states in REGION_STATES.items())
+    cases = " ".join(f"WHEN upper(trim({c})) IN ({', '.join(repr(s) for s in states)}) THEN '{name}'" for name, states in REGION_STATES.items())
     return f"CASE {cases} END"
 
 

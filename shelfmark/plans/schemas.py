@@ -7,13 +7,13 @@ LINEAGE = f"{AUDIT}, _source_file_name string, _source_row_id string"
 
 #: Business columns of the source tables, all text.
 SOURCE = {
-    "stores": "store_id store_name city state zip_code region manager_name opened_date square_footage".split(),
-    "products": "product_id sku product_name category subcategory brand unit_price cost is_active".split(),
-    "customers": "customer_id first_name last_name email phone street_address city state zip_code loyalty_tier join_date".split(),
-    "invoices": "invoice_id store_id customer_id invoice_date payment_method".split(),
-    "invoice_items": "invoice_id line_item product_id quantity unit_price discount".split(),
+    "stores": ["store_id", "store_name", "city", "state", "zip_code", "region", "manager_name", "opened_date", "square_footage"],
+    "products": ["product_id", "sku", "product_name", "category", "subcategory", "brand", "unit_price", "cost", "is_active"],
+    "customers": ["customer_id", "first_name", "last_name", "email", "phone", "street_address", "city", "state", "zip_code", "loyalty_tier", "join_date"],
+    "invoices": ["invoice_id", "store_id", "customer_id", "invoice_date", "payment_method"],
+    "invoice_items": ["invoice_id", "line_item", "product_id", "quantity", "unit_price", "discount"],
 }
-RETAIL_RAW = "invoice_id store_id customer_id invoice_date payment_method line_item product_id quantity unit_price discount".split()
+RETAIL_RAW = ["invoice_id", "store_id", "customer_id", "invoice_date", "payment_method", "line_item", "product_id", "quantity", "unit_price", "discount"]
 
 BRONZE = {name: ", ".join(f"{c} string" for c in columns) + f", {LINEAGE}" for name, columns in SOURCE.items()}
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
-PART = re.compile(r"^(?P<table>[A-Za-z0-9_]+?)_(?P<date>\d{4}_\d{2}_\d{2})_part-(?P<number>\d{5})\.parquet$")
+PART = re.compile(r"^(?P<table>[A-Za-z0-9_]+?)_(?P<date>\d{4}_\d{2}_\d{2})_part-(?P<number>\d{5,})\.parquet$")
 
 
 class Folder:
@@ -122,11 +122,12 @@ def write_parts(df: DataFrame, folder: str, table: str, date: dt.date, *, rows_p
     """Write a table as dated Parquet parts of at most so many rows, and its manifest; returns the manifest.
 
     Existing parts of the table and date are an error unless they may be overwritten. Parts are written aside
-    and renamed into place; a failure removes those of this call only.
+    and renamed into place, and those that they replace are moved aside until all are; a failure removes those of
+    this call and puts the old ones back.
     """
     spark = df.sparkSession
     at = Folder(spark, folder)
-    own = re.compile(re.escape(f"{table}_{date:%Y_%m_%d}_part-") + r"\d{5}\.parquet$")
+    own = re.compile(re.escape(f"{table}_{date:%Y_%m_%d}_part-") + r"\d{5,}\.parquet$")
     existing = [n for n in at.names() if own.match(n)]
     if existing and not overwrite:
         raise FileExistsError(f"{len(existing)} parts of {table} for {date} are there")
@@ -134,6 +135,8 @@ def write_parts(df: DataFrame, folder: str, table: str, date: dt.date, *, rows_p
     source_rows = df.count()
     staging = f".staging-{uuid.uuid4().hex}"
     placed: list[str] = []
+    aside: list[str] = []
+    kept = f".replaced-{uuid.uuid4().hex}"
     try:
         at.make()
         transportable(df).write.option("maxRecordsPerFile", rows_per_file).option("compression", compression).parquet(f"{folder}/{staging}")
@@ -141,17 +144,23 @@ def write_parts(df: DataFrame, folder: str, table: str, date: dt.date, *, rows_p
         rows = spark.read.parquet(f"{folder}/{staging}").count()
         if rows != source_rows:
             raise RuntimeError(f"{table}: {source_rows} rows in the source, {rows} written")
+        if existing:
+            Folder(spark, f"{folder}/{kept}").make()
         for name in existing:
-            at.delete(name)
+            at.rename(f"{at.path}/{name}", f"{kept}/{name}")
+            aside.append(name)
         for i, path in enumerate(written):
             at.rename(path, part_name(table, date, i))
             placed.append(part_name(table, date, i))
     except Exception:
         for name in placed:
             at.delete(name)
+        for name in aside:
+            at.rename(f"{at.path}/{kept}/{name}", name)
         raise
     finally:
         at.delete(staging)
+        at.delete(kept)
     manifest = {"table": table, "date": f"{date:%Y-%m-%d}", "started_utc": started.isoformat(), "finished_utc": dt.datetime.now(dt.timezone.utc).isoformat(), "source_rows": source_rows, "rows": rows, "reconciled": True, "compression": compression, "rows_per_file": rows_per_file, "files": placed, "columns": df.dtypes}
     at.write(f"{table}_{date:%Y_%m_%d}_manifest.json", json.dumps(manifest, indent=2))
     return manifest

@@ -40,30 +40,49 @@ def merge_bronze(store: TableStore, table: str, rows: DataFrame) -> None:
     store.merge(f"bronze/{table}", rows, ["_source_row_id"], update=update)
 
 
+def append_bronze(store: TableStore, table: str, rows: DataFrame) -> None:
+    """Rows of files that the table doesn't have; what is there is not rewritten."""
+    require_columns(rows, columns(BRONZE[table]), f"bronze {table}", ordered=True)
+    store.create(f"bronze/{table}", BRONZE[table])
+    store.append(f"bronze/{table}", rows)
+
+
 def processed(store: TableStore, table: str) -> set[str]:
-    """Paths of the files that have been loaded: one short text for each file."""
+    """Paths of the files that have been loaded."""
+    return logged(store, table, "SUCCESS")
+
+
+def logged(store: TableStore, table: str, status: str) -> set[str]:
+    """Paths that the log has with a status: one short text for each file."""
     if not store.exists(LOG):
         return set()
-    log = store.read(LOG).where((F.col("table_name") == table) & (F.col("status") == "SUCCESS"))
+    log = store.read(LOG).where((F.col("table_name") == table) & (F.col("status") == status))
     return {r[0] for r in log.select("source_file_path").distinct().collect()}
 
 
 def mark(store: TableStore, table: str, paths: list[str], as_of: str, status: str = "SUCCESS") -> None:
+    if not paths:
+        return
     store.create(LOG, LOG_DDL)
     rows = store.spark.createDataFrame([(table, p, status) for p in paths], "table_name string, source_file_path string, status string")
     store.append(LOG, rows.withColumn("processed_utc", F.lit(as_of).cast("timestamp")))
 
 
 def ingest(spark: SparkSession, store: TableStore, raw: str, table: str, as_of: str) -> list[str]:
-    """Load the table's new files in one scan; returns their paths. They are logged after the merge, so a crash
-    in between only loads them again.
+    """Load the table's new files; returns their paths.
+
+    They are logged before and after. Rows of a file that was never begun cannot be there yet, so they are
+    appended; only files that an earlier run began and did not finish are merged.
     """
     new = discover(spark, raw, table, processed(store, table))
-    if new:
-        scan = spark.read.parquet(*new)
-        require_columns(scan, SOURCE[table], f"files of {table}", ordered=True)
-        merge_bronze(store, table, with_lineage(scan, as_of))
-        mark(store, table, new, as_of)
+    begun = logged(store, table, "STARTED") & set(new)
+    mark(store, table, [p for p in new if p not in begun], as_of, "STARTED")
+    for paths, load in (([p for p in new if p not in begun], append_bronze), (sorted(begun), merge_bronze)):
+        if paths:
+            scan = spark.read.parquet(*paths)
+            require_columns(scan, SOURCE[table], f"files of {table}", ordered=True)
+            load(store, table, with_lineage(scan, as_of))
+            mark(store, table, paths, as_of)
     return new
 
 
@@ -73,7 +92,7 @@ def ingest_stream(spark: SparkSession, store: TableStore, raw: str, table: str,
     Returns the rows of this run. A batch that is repeated after a failure merges the same row ids again.
     """
     schema = ", ".join(f"{c} string" for c in SOURCE[table])
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}_????_??_??_part-?????.parquet").parquet(raw)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}_????_??_??_part-?????*.parquet").parquet(raw)
     loaded = 0
 
     def load(batch: DataFrame, _: int) -> None:

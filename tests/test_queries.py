@@ -10,7 +10,10 @@ from shelfmark.queries import QUERIES, SQL
 SF_DIR = "/root/testdata/sf0.001"
 CHECKED = """exec_daily_agg product_monthly_agg store_daily_agg kpi_exec_headline kpi_growth_prev_period rev_by_region top5_products_per_store drill_geo_rollup dim_date
 region_map_lookup scd2_versions scd2_overlap_check asof_fact_resolve dq_products dq_invoices dq_items silver_items dq_pareto parse_dates parse_longs merge_upsert
-merge_conditional nullsafe_anti surrogate_keys recon_aggregates""".split()
+merge_conditional nullsafe_anti surrogate_keys recon_aggregates
+bronze_lineage incremental_ingest processed_log store_merge fact_invoice_keys fact_line_keys key_carry_over scd2_keys first_transaction default_members geography_lookup
+recon_fact_counts recon_fact_grain recon_scd2_sound recon_default_for_known recon_aggregate_grain recon_month_key recon_records_add_up recon_dq_population recon_issue_sum recon_report
+dq_affected_records dq_trend dq_by_geography store_growth guards dq_daily_agg""".split()
 
 
 def plain(value):

@@ -141,7 +141,7 @@ def test_parsers(spark):
 
 
 def test_regions(spark):
-    states = [(s, name) for name, all_ in REGION_STATES.items() for s in all_.split()]
+    states = [(s, name) for name, all_ in REGION_STATES.items() for s in all_]
     df = spark.createDataFrame([(s.lower() + " ", n) for s, n in states], "state string, want string")
     assert df.where(~region_of_state("state").eqNullSafe(F.col("want"))).count() == 0 and len(states) == 59
     df = spark.createDataFrame([("MD", "northeast"), (None, " west "), ("XX", None)], "state string, r string")
