@@ -5,7 +5,8 @@ The toxic dictionary goes behind the ordinary one, so both compressors know ordi
 gets shorter when the toxic dictionary is there holds toxic material, and ordinary windows differ by nearly nothing.
 How much evidence a saving of so many bytes is, is calibrated on labelled texts that no dictionary was trained
 on: the log ratio of its shares among windows of toxic and ordinary text. A document's evidence is the sum over
-its windows, less what their number alone would bring; a logistic curve makes it a score with the threshold at 0.5.
+its windows, less what their number alone would bring, as a mean over a few window sizes; a logistic curve makes it
+a score with the threshold at 0.5.
 
 Passages: most words of a toxic text are ordinary, and a dictionary trained on all of them spends itself on
 those. So the trainer is given the spans whose words or beginnings of words stand in significantly more contexts in
@@ -19,7 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -42,9 +43,9 @@ class ToxicityModel:
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    window: int = 12
-    evidence: tuple[float, ...] = ()
-    for_each: float = 0.0
+    windows: tuple[int, ...] = (8, 12, 16)
+    evidence: tuple[tuple[float, ...], ...] = ()
+    for_each: tuple[float, ...] = ()
     slope: float = 1.0
     cut: float = 0.0
     constant: float | None = None
@@ -81,6 +82,15 @@ def _savings(words: list[bytes], ordinary: bytes, toxic: bytes, window: int) ->
     return np.clip([len(alone(w)) - len(both(w)) for w in _windows(words, window)], 0, MOST)
 
 
+def _evidence(words: list[bytes], model: ToxicityModel) -> float:
+    """The mean over the window sizes."""
+    total = 0.0
+    for window, evidence, for_each in zip(model.windows, model.evidence, model.for_each):
+        saved = _savings(words, model.ordinary, model.toxic, window)
+        total += np.array(evidence)[saved].sum() - for_each * len(saved)
+    return total / len(model.windows)
+
+
 def _train(size: int, samples: list[bytes], segment: int, unit: int) -> bytes:
     """A dictionary of the samples; as they are where zstandard finds them too few to train on."""
     try:
@@ -127,7 +137,7 @@ def _marks_of(toxic: list[bytes], ordinary: list[bytes], deviations: float, puri
     return {m for m in seen if excess(m) > 0 and (m.endswith(b" ") or most[m] <= 0.6 * seen[m])}
 
 
-def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, window: int = 12, ordinary_size: int = 16384, toxic_size: int = 3000, segment: int = 24, unit: int = 8, deviations: float = 3.0, purity: float = 5.0, least: int = 10) -> ToxicityModel:
+def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, windows: tuple[int, ...] = (8, 12, 16), ordinary_size: int = 16384, toxic_size: int = 3000, segment: int = 24, unit: int = 8, deviations: float = 3.0, purity: float = 5.0, least: int = 10) -> ToxicityModel:
     """Trains on ``(text, label)``; ``counts``: how many rows have each label in all.
 
     Every fifth text of a label calibrates, the others train the dictionaries; copies of a text are one. ``segment`` and
@@ -145,19 +155,21 @@ def fit(sample: Iterable[tuple[str, int]], counts: dict[int, int], *, window: in
     passages = [b" %b " % w for t in toxic_texts for w in (x.strip(EDGES) for x in t.split()) if not marks.isdisjoint(_marks(w))]
     ordinary = _train(ordinary_size, [w for t in ordinary_texts for w in _windows(t.split(), 8) if w] or [b" "], 64, 6)
     toxic = _train(toxic_size, passages or [b" "], segment, unit)
-    saved = [_savings(t.split(), ordinary, toxic, window) for t, _ in calibrate]
     y = np.array([y for _, y in calibrate], float)
-    shares = np.ones((2, MOST + 1))
-    for own, label in zip(saved, y):
-        shares[int(label)] += np.bincount(own, minlength=MOST + 1)
-    shares /= shares.sum(1, keepdims=True)
-    # Larger savings are never less evidence; a saving of up to one byte, what ordinary windows have by chance, is none.
-    evidence = np.maximum.accumulate(np.maximum(np.log(shares[1] / shares[0]), 0) * (np.arange(MOST + 1) > 1))
-    for_each = float((shares[1] - shares[0])[2:].sum())
-    raw = np.array([evidence[s].sum() - for_each * len(s) for s in saved])
     weight = class_weights(y, counts)
+    evidence, for_each = [], []
+    for window in windows:
+        shares = np.ones((2, MOST + 1))
+        for t, label in calibrate:
+            shares[label] += np.bincount(_savings(t.split(), ordinary, toxic, window), minlength=MOST + 1)
+        shares /= shares.sum(1, keepdims=True)
+        # Larger savings are never less evidence; one of up to a byte, what ordinary windows have by chance, is none.
+        evidence.append(tuple(np.maximum.accumulate(np.maximum(np.log(shares[1] / shares[0]), 0) * (np.arange(MOST + 1) > 1))))
+        for_each.append(float((shares[1] - shares[0])[2:].sum()))
+    model = ToxicityModel(ordinary, toxic, windows, tuple(evidence), tuple(for_each))
+    raw = np.array([_evidence(t.split(), model) for t, _ in calibrate])
     slope = max(float(logistic(np.c_[raw / 10, np.ones(len(raw))], y, weight)[0]) / 10, 1e-3)
-    return ToxicityModel(ordinary, toxic, window, tuple(evidence), for_each, slope, best_cut(raw, y, weight))
+    return replace(model, slope=slope, cut=best_cut(raw, y, weight))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, positives: int = 1200, negatives: int = 3600, **options) -> ToxicityModel:
@@ -168,9 +180,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_text(text: str | None, model: ToxicityModel) -> float:
     if model.constant is not None:
         return model.constant
-    saved = _savings(_words(text or ""), model.ordinary, model.toxic, model.window)
-    raw = np.array(model.evidence)[saved].sum() - model.for_each * len(saved)
-    return float(sigmoid(model.slope * (raw - model.cut)))
+    return float(sigmoid(model.slope * (_evidence(_words(text or ""), model) - model.cut)))
 
 
 def toxicity(text: Column, model: ToxicityModel) -> Column:
