@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import read_table, shared_path
+from shelfmark.llm.common import delete, read_table, shared_path
 from shelfmark.llm.decontamination import drop_leaks
 from shelfmark.llm.jaccard_join import keep_one
 from shelfmark.llm.learning import in_training
@@ -51,10 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet to the shared folder and read again.
+
+    A stage's table is deleted once the next one has been written.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
