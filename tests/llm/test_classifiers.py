@@ -58,6 +58,21 @@ def test_odd_texts_are_scored(documents, labelled):
         assert documents.where("false").select(column(F.col("text"), model).alias("s")).count() == 0
 
 
+def test_clashing_names_and_very_long_texts(spark, labelled):
+    docs = labelled.select(F.col("doc_id").alias("label"), F.col("text").alias("score"), "toxic", "quality")
+    train = docs.select("label", "toxic", "quality")
+    long = "word idiot ### " * 60_000
+    for fit, column in ((toxicity.fit_toxicity, toxicity.toxicity), (quality_mil.fit_quality, quality_mil.quality)):
+        model = fit(docs.withColumnRenamed("label", "ident"), train.withColumnRenamed("label", "ident"), "ident", "score")
+        rows = spark.createDataFrame([(1, long)], "score int, text string").select("score", column(F.col("text"), model).alias("s")).collect()
+        assert rows[0].score == 1 and 0 <= rows[0].s <= 1
+
+
+def test_a_sample_leaves_out_texts_beyond_its_bound(labelled):
+    sample, _ = labelled_sample(labelled, labelled.select("doc_id", "toxic"), "doc_id", "text", "toxic", 10, 20, longest=600)
+    assert 0 < len(sample) < 30 and all(len(t) <= 600 for t, _ in sample)
+
+
 def test_without_labels_or_with_one(spark, documents):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     one = spark.createDataFrame([(3, 1, 1), (4, 1, 1), (None, 0, 0), (5, None, None)], "doc_id long, toxic int, quality int")

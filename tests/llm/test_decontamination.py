@@ -51,6 +51,13 @@ def test_sketches_are_the_smallest_hashes():
     assert len(index.parts[0].values) == 40 - math.ceil(30) + 1
 
 
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("d", "alpha beta gamma"), ("e", "no")], "doc_id string, text string")
+    for kind, value in (("int", 7), ("string", "x"), ("smallint", 3)):
+        items = spark.createDataFrame([(value, "alpha beta")], f"item_id {kind}, text string")
+        assert [(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()] == [("d", value)]
+
+
 def test_blocks_are_bounded(spark):
     t = spark.createDataFrame([(i, "x" * 40) for i in range(10)], "item_id long, text string")
     assert [len(b) for b in blocks(t, "item_id", "text", 100)] == [2] * 5

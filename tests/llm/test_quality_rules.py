@@ -28,6 +28,11 @@ def test_statistics_match_brute_force(documents):
         assert all(r[f] is not None for f in FEATURES)
 
 
+def test_columns_with_names_of_its_own_stay(spark):
+    rows = with_statistics(spark.createDataFrame([("a\na\nb", 7, "x")], "text string, _lines int, _words string")).collect()
+    assert rows[0]["_lines"] == 7 and rows[0]["_words"] == "x" and rows[0].n_dup_lines == 1 and rows[0].dup_line_share == 1 / 3
+
+
 def test_random_texts(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("ab  \n\t*\x0b") for _ in range(rng.randrange(80))) for _ in range(300)]
