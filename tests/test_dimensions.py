@@ -157,3 +157,28 @@ def test_growth_without_a_previous_period_is_null(spark):
     assert (str(row.revenue), str(row.previous_revenue), str(row.growth)) == ("10.00", "4.00", "1.500000")
     assert kpis.growth(sales, dates, "2024-01-01", "2024-01-04").first().growth is None
     assert [str(r.revenue) for r in kpis.trend(sales, dates, "2024-01-04", "2024-01-05").orderBy("full_date").collect()] == ["0.00", "10.00"]
+
+
+def test_all_pairs_of_overlapping_versions(spark):
+    import random
+
+    from shelfmark.operators import scd2
+
+    rng = random.Random(6)
+    rows = [(e, k, s, s + rng.choice([1, 2, 3, 30])) for e in range(20) for k, s in enumerate(sorted(rng.randrange(60) for _ in range(8)))]
+    held = spark.createDataFrame(rows, "e int, k int, effective_from int, effective_to int")
+    got = sorted(tuple(r) for r in scd2.overlaps(held, "e", "k").collect())
+    assert got == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and (a[2], a[1]) < (b[2], b[1]) and b[2] < a[3])
+    assert len(got) > 100
+
+
+def test_rows_without_keys_are_dealt_out_and_find_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from shelfmark.operators import scd2
+
+    facts = spark.range(1000).select("id", F.when(F.col("id") % 4 == 0, F.lit(None)).otherwise(F.col("id") % 3).cast("string").alias("c"), F.lit("2024-05-01").cast("date").alias("d"))
+    held = spark.createDataFrame([(str(i), 10 + i) for i in range(3)], "c string, key int").withColumns({"effective_from": F.lit("2024-01-01").cast("timestamp"), "effective_to": F.lit("2025-01-01").cast("timestamp")})
+    out = scd2.as_of_join(facts, held, "c", "d", ["key"])
+    assert out.columns == ["id", "c", "d", "key"] and out.count() == 1000
+    assert out.where("(c is null) != (key is null)").count() == 0

@@ -107,3 +107,32 @@ def test_command_line_from_csv_to_report(spark, tmp_path, capsys):
     assert main(["--root", root, "--raw", raw, "silver"]) == 2
     assert main(["--root", root, "--raw", raw, "--as-of", "2026-01-01 00:00:00", "run"]) == 0
     assert "executive" in capsys.readouterr().out
+
+
+def test_part_numbers_of_six_digits_are_found(spark, tmp_path):
+    from shelfmark.sources.files import discover
+
+    for name in ("t_2024_01_01_part-99999.parquet", "t_2024_01_01_part-100000.parquet", "t_2024_01_01_part-1.parquet"):
+        (tmp_path / name).write_bytes(b"")
+    assert [p.rsplit("-", 1)[1] for p in discover(spark, str(tmp_path), "t")] == ["100000.parquet", "99999.parquet"]
+
+
+def test_files_that_were_begun_are_merged_and_new_ones_appended(spark, tmp_path):
+    import datetime as dt
+
+    from shelfmark.operators.store import TableStore
+    from shelfmark.sources.files import write_parts
+    from shelfmark.streaming import ingest
+
+    store, raw, now = TableStore(spark, str(tmp_path / "lake")), str(tmp_path / "raw"), "2024-01-02 00:00:00"
+    rows = spark.createDataFrame([(str(i), "1", None, "2024-01-01", "Cash") for i in range(6)], "invoice_id string, store_id string, customer_id string, invoice_date string, payment_method string")
+    write_parts(rows.coalesce(1), raw, "invoices", dt.date(2024, 1, 1))
+    path = ingest.discover(spark, raw, "invoices")[0]
+    # A run that loaded the file and died before it could say so.
+    ingest.mark(store, "invoices", [path], now, "STARTED")
+    ingest.append_bronze(store, "invoices", ingest.with_lineage(spark.read.parquet(path), now))
+    assert ingest.ingest(spark, store, raw, "invoices", now) == [path]
+    assert store.read("bronze/invoices").count() == 6
+    write_parts(rows.coalesce(1), raw, "invoices", dt.date(2024, 1, 2))
+    assert len(ingest.ingest(spark, store, raw, "invoices", now)) == 1
+    assert store.read("bronze/invoices").count() == 12 and ingest.ingest(spark, store, raw, "invoices", now) == []

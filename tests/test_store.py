@@ -83,3 +83,22 @@ def test_keys(spark):
     assert keys.next_key(None, "k") == 0
     assert keys.next_key(spark.createDataFrame([(-1,)], "k long"), "k") == 0
     assert keys.next_key(spark.createDataFrame([(-1,), (7,)], "k long"), "k") == 7
+
+
+def test_staged_tables_are_seen_once_published(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.overwrite("t", spark.range(3))
+    staged = store.stage("t", spark.range(5))
+    assert store.read("t").count() == 3 and staged.frame.count() == 5
+    store.publish(staged)
+    assert store.read("t").count() == 5
+
+
+def test_vacuum_removes_what_no_pointer_names(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.overwrite("a/t", spark.range(3))
+    store.overwrite("a/t", spark.range(4))
+    store.append("a/t", spark.range(2))
+    store.stage("a/t", spark.range(9))
+    assert len(store.vacuum()) == 2 and store.vacuum() == []
+    assert store.read("a/t").count() == 6
