@@ -17,10 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers on this machine import this package from where the driver did, whatever their folder.
+    """Lets the Python workers of a local session import this package from where the driver did, whatever their folder.
 
-    On a cluster the package goes with the job, as by ``--py-files``.
+    On a cluster nothing is done: there the package goes with the job, as by ``--py-files``.
     """
+    if not spark.sparkContext.master.startswith("local"):
+        return
     environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
