@@ -126,7 +126,7 @@ class Encoder:
     are remembered.
     """
 
-    def __init__(self, tokenizer: str, most: int = 1_000_000, longest: int = 48) -> None:
+    def __init__(self, tokenizer: str, most: int = 500_000, longest: int = 48) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -180,7 +180,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def load_encoder(tokenizer: str) -> Encoder:
-    """One for each worker process, so that what it remembers serves all its tasks."""
+    """One for each worker process, as loading takes a second; what it remembers is dropped after each task."""
     return Encoder(tokenizer)
 
 
@@ -232,6 +232,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     packer.add((doc, len(ids)), ids)
                 if (out := rows()) is not None:
                     yield out
+        encode.known.clear()  # the process lives on, and other stages need its memory
         packer.flush()
         if (out := rows()) is not None:
             yield out
