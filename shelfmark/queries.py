@@ -22,6 +22,7 @@ SQL: dict[str, str] = {}
 
 FIRST, LAST = "1998-01-01", "1998-12-31"
 AS_OF = "2000-07-01 00:00:00"
+FIRST_LOAD = "2000-01-01 00:00:00"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -293,14 +294,19 @@ def region_map_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Versions ---------------------------------------------------------------------------------------------
 
 
-def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The customers after two loads, of which the second changes every tenth."""
+def _versions(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """The customers after two loads, of which the second changes every tenth.
+
+    A first transaction from ``until`` on counts as none yet, as for a load that runs at that moment.
+    """
     seen = adapt.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("first_seen"))
+    if until:
+        seen = seen.withColumn("first_seen", F.when(F.col("first_seen") < F.lit(until).cast("date"), F.col("first_seen")))
     people = adapt.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("loyalty_tier"))
     first = people.join(seen, F.col("customer_id") == F.col("o_custkey"), "left").drop("o_custkey")
     second = first.withColumn("loyalty_tier", F.when(F.col("customer_id") % 10 == 0, "CHANGED").otherwise(F.col("loyalty_tier")))
     empty = spark.createDataFrame([], "customer_key bigint, customer_id bigint, loyalty_tier string, effective_from timestamp, effective_to timestamp, is_current boolean, attribute_hash string")
-    once = scd2.merge_scd2(first, empty, "customer_id", "customer_key", ["loyalty_tier"], "2000-01-01 00:00:00", "first_seen")
+    once = scd2.merge_scd2(first, empty, "customer_id", "customer_key", ["loyalty_tier"], FIRST_LOAD, "first_seen")
     return scd2.merge_scd2(second, once, "customer_id", "customer_key", ["loyalty_tier"], AS_OF, "first_seen")
 
 

@@ -45,3 +45,13 @@ def test_equals_the_independent_engine(spark, engine, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_soundness_counts_only_planted_faults_where_customers_first_buy_after_a_load(spark, tmp_path):
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE customer AS SELECT i AS c_custkey, 'A' AS c_mktsegment FROM range(1, 61) t(i)")
+    connection.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i AS o_custkey, CASE WHEN i % 20 = 0 THEN TIMESTAMP '2001-06-19' WHEN i = 10 THEN TIMESTAMP '2000-07-01' WHEN i = 50 THEN TIMESTAMP '2000-03-01' ELSE TIMESTAMP '1997-01-01' END AS o_orderdate FROM range(1, 60) t(i)")
+    for name in ("customer", "orders"):
+        connection.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = sorted(tuple(r) for r in QUERIES["recon_scd2_sound"](spark, str(tmp_path)).collect())
+    assert got == sorted(connection.execute(SQL["recon_scd2_sound"]).fetchall())
