@@ -77,6 +77,26 @@ def test_ids_of_odd_texts():
     assert ids(texts) == plain(texts)
 
 
+def test_the_vocabulary_is_merged_by_rank_and_remembers_nothing():
+    encode = Encoder("byte_bpe_50k.json")
+    texts = ["Some  words\n\n and 'll 12a", "x" + " " * 300_000 + "y", "ab" * 100_000, "日本" * 30_000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == plain(texts)
+    assert encode.ranked and not encode.known
+    assert ids(texts, by_rank=False) == ids(texts, by_rank=False, most=3, longest=2) == plain(texts)
+
+
+def test_ids_that_are_no_ranks_are_encoded_by_pieces():
+    import json
+
+    from shelfmark.llm.packing import _ranked
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    assert _ranked(model)
+    assert not _ranked(model | {"merges": [*model["merges"][1:], model["merges"][0]]})
+    assert not _ranked(model | {"ignore_merges": True})
+
+
 def test_other_vocabularies_are_encoded_whole():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = ["Some  Words here", " and\nmore "]
