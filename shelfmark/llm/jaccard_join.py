@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -66,8 +67,8 @@ class Bitmap:
     """A bounded filter for ids of any type: never false for an id that it was built from."""
 
     def __init__(self, ids: DataFrame, col: str, most_bits: int = 1 << 28) -> None:
-        n = ids.count()
-        self.bits = min(most_bits, max(1 << 15, 1 << (16 * n).bit_length()))
+        self.n = ids.count()
+        self.bits = min(most_bits, max(1 << 15, 1 << (64 * self.n).bit_length()))
         at = self.position(F.col(col)) + 1
         rows = ids.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
         data = np.zeros(self.bits // 8, np.uint8)
@@ -315,30 +316,59 @@ def _sets(docs: DataFrame, text_col: str, wanted: Bitmap) -> DataFrame:
     return docs.select(text_col).mapInArrow(build, "a binary, tokens binary").dropDuplicates(["a"])
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int, salts: int = 32) -> DataFrame:
-    """``a, b, shared, linked``: how many shingles the sets of each pair share, counted in the whole sets."""
-    wanted = Bitmap(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct(), "a")
-    sets = _sets(docs, text_col, wanted)  # one shuffle by set id, which both sides use
+def _groups(pairs: DataFrame, group_pairs: int) -> DataFrame:
+    """``a, b, part``: the pairs in parts of about ``group_pairs``, those of a set that many are compared with together.
 
-    @F.pandas_udf("shared int, linked boolean")
-    def compare(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    A pair goes with the one of its sets that has more pairs; sets of more than ``group_pairs`` have several parts.
+    """
+    parts = max(1, math.ceil(pairs.count() / group_pairs))
+    several = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("k")).where("k > 1")
+    counted = pairs
+    for own, k in (("a", "k1"), ("b", "k2")):
+        counted = counted.join(several.select(F.col("id").alias(own), F.col("k").alias(k)), own, "left").fillna(1, [k])
+    by_a = F.col("k1") > F.col("k2")
+    hub, other = F.when(by_a, F.col("a")).otherwise(F.col("b")), F.when(by_a, F.col("b")).otherwise(F.col("a"))
+    salt = F.pmod(F.xxhash64(other), F.ceil(F.greatest("k1", "k2") / group_pairs))
+    return counted.select("a", "b", F.pmod(F.xxhash64(hub, salt), F.lit(parts)).alias("part"))
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int, scratch: Scratch, group_pairs: int = 256, moves: int = 2) -> DataFrame:
+    """``a, b, shared, linked``, written: how many shingles the sets of each pair share, counted in the whole sets.
+
+    A set is moved once by its id, and then once to each part that has pairs of it, never with a pair. Where that is
+    more than ``moves`` times on average, the sets are written and the parts are done in several rounds, so that the
+    disk in use is bounded by the sets, however many pairs there are.
+    """
+    grouped = scratch.write(_groups(pairs, group_pairs), "join-parts")
+    needed_in = lambda parts: parts.select("part", F.explode(F.array("a", "b")).alias("a")).distinct()
+    wanted = Bitmap(needed_in(grouped).select("a").distinct(), "a")
+    sets = _sets(docs, text_col, wanted)
+    rounds = max(1, math.ceil(needed_in(grouped).count() / max(1, moves * wanted.n)))
+    if rounds > 1:
+        sets = scratch.write(sets, "join-sets")
+
+    def compare(table: pa.Table) -> pa.Table:
+        is_set = pc.is_valid(table.column("tokens"))
+        own = table.filter(is_set)
+        held = {a: np.frombuffer(t, np.uint64) for a, t in zip(own.column("a").to_pylist(), own.column("tokens").to_pylist())}
+        rest = table.filter(pc.invert(is_set)).select(["a", "b"])
         shared, linked = [], []
-        for p, q in zip(x, y):
-            both = np.concatenate([np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)])
+        for p, q in zip(rest.column("a").to_pylist(), rest.column("b").to_pylist()):
+            both = np.concatenate([held[p], held[q]])
             both.sort(kind="stable")
             n = int((both[1:] == both[:-1]).sum())
             shared.append(n)
             linked.append(100 * n >= percent * (len(both) - n))
-        return pd.DataFrame({"shared": pd.Series(shared, dtype="int32"), "linked": pd.Series(linked, dtype="bool")})
-
-    def joined(rows: DataFrame, own: str, other: str, tokens: str) -> DataFrame:
-        """``rows`` with a side's set; the rows of a set that many are compared with are dealt out by the other side."""
-        dealt = rows.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(salts)).cast("int"))
-        copies = dealt.select(own, "salt").distinct().join(sets.select(F.col("a").alias(own), F.col("tokens").alias(tokens)), own)
-        return dealt.join(copies, [own, "salt"]).drop("salt")
+        return rest.append_column("shared", pa.array(shared, pa.int32())).append_column("linked", pa.array(linked, pa.bool_()))
 
-    both = joined(joined(pairs, "a", "b", "x"), "b", "a", "y")
-    return both.select("a", "b", compare("x", "y").alias("r")).select("a", "b", "r.shared", "r.linked")
+    none = lambda c: F.lit(None).cast("binary").alias(c)
+    done = []
+    for i in range(rounds):
+        own = grouped.where(F.col("part") % rounds == i)
+        moved = needed_in(own).join(sets, "a").select("part", "a", none("b"), "tokens").unionByName(own.select("part", "a", "b", none("tokens")))
+        done.append(scratch.write(moved.groupBy("part").applyInArrow(compare, "a binary, b binary, shared int, linked boolean"), "join-compared"))
+    scratch.drop(grouped, sets)
+    return reduce(DataFrame.unionByName, done)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -410,7 +440,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         index = scratch.write(_index(docs, id_col, text_col, percent, bits, counts, list_rows), "join-index")
     pairs = scratch.write(index.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
     with small_batches():
-        compared = scratch.write(_compared(pairs, docs, text_col, percent), "join-compared")
+        compared = _compared(pairs, docs, text_col, percent, scratch)
     edges = compared.where("linked").select("a", "b")
     known = components(edges, scratch)
     # Sets that link to nothing are their own component.
@@ -420,7 +450,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = scratch.write(open_.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "join-more")
     if not more.isEmpty():
         with small_batches():
-            further = scratch.write(_compared(more, docs, text_col, percent).where("linked").select("a", "b"), "join-links")
+            further = _compared(more, docs, text_col, percent, scratch).where("linked").select("a", "b")
         known = components(edges.unionByName(further), scratch)
     sets = index.where(F.col("kind") == DOC).select("id", "a", "n")
     by_set = sets.where("a is not null").groupBy("a").agg(F.min("id").alias("id"), F.count("*").alias("rows"))

@@ -117,3 +117,27 @@ def test_bitmap_positions_are_the_same_outside_of_spark(spark):
     ids = [bytes([i] * 16) for i in range(200)]
     bitmap = Bitmap(spark.createDataFrame([(x,) for x in ids], "a binary"), "a")
     assert all(bitmap.held.value[(at := bitmap.position_of(x)) >> 3] >> (at & 7) & 1 for x in ids)
+
+
+def test_sets_are_moved_once_to_a_part_and_in_rounds_where_pairs_are_many(spark, tmp_path):
+    from shelfmark.llm import jaccard_join as j
+    from shelfmark.llm.common import Scratch
+    from shelfmark.llm.shingles import shingle_set, words_of
+
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(base) if rng.random() < 0.02 * (i % 5) else w for w in base) for i in range(14)]
+    sets = {j._node(s): set(s.tolist()) for s in (shingle_set(words_of(t)) for t in texts)}
+    nodes = sorted(sets)
+    hub = nodes[0]
+    star = spark.createDataFrame([(hub, n) for n in nodes[1:]], "a binary, b binary")
+    assert j._groups(star, 256).select("part").distinct().count() == 1
+    clique = [(x, y) for x in nodes for y in nodes if x < y]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for size in (1, 256):  # every pair a part of its own, in rounds; all of them one part
+        scratch = Scratch(spark)
+        got = j._compared(spark.createDataFrame(clique, "a binary, b binary"), docs, "text", 75, scratch, group_pairs=size).collect()
+        want = {(x, y): len(sets[x] & sets[y]) for x, y in clique}
+        assert {(bytes(r.a), bytes(r.b)): r.shared for r in got} == want and len(got) == len(clique)
+        assert all(r.linked == (100 * r.shared >= 75 * len(sets[bytes(r.a)] | sets[bytes(r.b)])) for r in got)
+        assert (len(scratch.paths) > 1) == (size == 1)
