@@ -100,6 +100,8 @@ class Scratch:
         path = shared_path(self.spark, name)
         with settings(self.spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
             df.write.parquet(path)
+        # Plans of many exchanges leave the driver's heap grown, and shuffles and broadcasts go once it is collected.
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths.append((out, path))
         return out

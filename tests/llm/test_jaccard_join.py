@@ -141,3 +141,11 @@ def test_sets_are_moved_once_to_a_part_and_in_rounds_where_pairs_are_many(spark,
         assert {(bytes(r.a), bytes(r.b)): r.shared for r in got} == want and len(got) == len(clique)
         assert all(r.linked == (100 * r.shared >= 75 * len(sets[bytes(r.a)] | sets[bytes(r.b)])) for r in got)
         assert (len(scratch.paths) > 1) == (size == 1)
+
+
+def test_the_driver_is_collected_after_each_table(spark):
+    collectors = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = next(c for c in collectors if "Old" in c.getName() or "MarkSweep" in c.getName())
+    before, scratch = full.getCollectionCount(), Scratch(spark)
+    scratch.write(spark.range(3), "test-collected")
+    assert full.getCollectionCount() > before
