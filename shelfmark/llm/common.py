@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: a space, or one of tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -84,6 +85,21 @@ def settings(spark: SparkSession, **values: str | int) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def collect_executors(spark: SparkSession, executors: int | None = None) -> None:
+    """Collects the heap of every executor, by a job of one task for each, so that it shrinks to what is in use.
+
+    Between jobs an executor's heap stays as large as it ever was, and buffers outside of it go only once it is collected;
+    both count beside the Python workers. If an executor is busy with other jobs, another may get its task: nothing
+    depends on it. Local sessions run their tasks in the driver, where
+    ``Scratch`` collects already.
+    """
+    if executors is None:
+        executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1
+    if executors > 0:
+        collected = F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("collected")
+        spark.range(0, executors, 1, executors).select(collected).write.format("noop").mode("overwrite").save()
+
+
 class Scratch:
     """Tables that an operator writes for itself and reads again.
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Scratch, own_name, read_table, settings
+from .common import Scratch, collect_executors, own_name, read_table, settings
 from .shingles import shingle_set, words_of
 
 DOC, ENTRY, PAIR = 0, 1, 2
@@ -367,6 +367,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, text_col: str, percent: int, sc
         own = grouped.where(F.col("part") % rounds == i)
         moved = needed_in(own).join(sets, "a").select("part", "a", none("b"), "tokens").unionByName(own.select("part", "a", "b", none("tokens")))
         done.append(scratch.write(moved.groupBy("part").applyInArrow(compare, "a binary, b binary, shared int, linked boolean"), "join-compared"))
+        collect_executors(docs.sparkSession)
     scratch.drop(grouped, sets)
     return reduce(DataFrame.unionByName, done)
 
@@ -437,7 +438,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches = lambda: settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2000)
     with small_batches():
         counts = _counts(docs, text_col, rows, bits, frequent_above, most_frequent, scratch)
+        collect_executors(docs.sparkSession)
         index = scratch.write(_index(docs, id_col, text_col, percent, bits, counts, list_rows), "join-index")
+    collect_executors(docs.sparkSession)
     pairs = scratch.write(index.where(F.col("kind") == PAIR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
     with small_batches():
         compared = _compared(pairs, docs, text_col, percent, scratch)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from shelfmark.llm import queries
+from shelfmark.llm import common, jaccard_join, queries
 from shelfmark.llm.decontamination import ItemIndex
 
 TOXIC = ["vilefoo", "grubble", "zonkhead"]
@@ -122,3 +122,33 @@ def test_names_and_sql():
     names = list(queries.queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def collections(spark):
+    return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_tasks_collect_the_heap_they_run_in(spark):
+    """A task for each executor collects; here, tasks run in the driver's own process."""
+    before = collections(spark)
+    common.collect_executors(spark, 2)
+    assert collections(spark) > before
+
+
+def test_executors_are_collected_before_each_stage_and_in_the_join(spark, sf_dir, monkeypatch):
+    """What one stage left in the heaps once took the next one, which needs little, beyond an executor's memory."""
+    class Reached(Exception):
+        pass
+
+    def reached(*_):
+        raise Reached
+
+    monkeypatch.setattr(corpus_pipeline, "collect_executors", reached)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Reached):
+            stage(spark, docs, sf_dir)
+    calls = []
+    monkeypatch.setattr(jaccard_join, "collect_executors", calls.append)
+    assert jaccard_join.link_documents(docs).count() == docs.count()
+    assert len(calls) >= 3  # after the counts, the index and each comparison
