@@ -261,9 +261,14 @@ def _rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kinds[s["kind"]], s["start"], s["stop"])), ",")
 
 
+def _counted(spans: Column, kind: int) -> Column:
+    # The lambda takes the span alone: a second parameter, defaults included, would be the span's place in the array.
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op8_pii_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every identifier of every document; counts and digest are of the base spans."""
     found = detect(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = F.filter("pii", lambda s: s["base"])
-    count = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    count = [_counted(base, k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *count, F.sha2(_rendered(base), 256).alias("base_sha256"), _rendered(F.col("pii")).alias("spans"), (F.size("pii") - F.size(base)).cast("long").alias("n_disguised"))

@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 import duckdb
 
-from shelfmark.llm.pii import KINDS, detect, disguised, plain
+from shelfmark.llm.pii import KINDS, detect, disguised, op8_pii_deobfuscation, plain
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -158,3 +159,20 @@ def test_on_a_table(documents):
         assert [(s.kind, s.start, s.stop) for s in r.pii if s.base] == brute(r.text or "")
     assert detect(documents.where("false")).count() == 0
     assert "pii_" in detect(documents.withColumnRenamed("row", "pii")).columns
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    """Counts and digest of the base spans, of one kind alone and of several, whatever the disguised ones beside them."""
+    mail, ip, card, phone = "a.b@x.org", "10.0.255.1", "4111 1111 1111 1111", "+49 (30) 123-4567"
+    texts = [None, "", "none", mail, ip, card, phone, f"{mail} {mail}, {mail}", f"{ip} {ip}", f"𝄞 {phone}; {ip}; {card}", f"é {card} x {mail}", f"{ip}, 256.1.1.1, {mail} 4111 1111 1111 1112"]
+    texts += [f"c.d [at] x [dot] org, {phone}, e_f at y.org", "plus one two three four five six seven eight nine", f"{mail} {ip} {card}, {phone}. " * 3]
+    rows = list(enumerate(texts)) + [(3, mail), (3, mail), (None, ip)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = []
+    for i, text in rows:
+        spans = brute(text or "")
+        rendered = ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        wanted.append((i, *(sum(s[0] == k for s in spans) for k in range(4)), hashlib.sha256(rendered.encode()).hexdigest()))
+    found = op8_pii_deobfuscation(spark, str(tmp_path))
+    assert [f.dataType.simpleString() for f in found.schema][:6] == ["bigint"] * 5 + ["string"]
+    assert sorted(map(repr, wanted)) == sorted(repr(tuple(r)[:6]) for r in found.collect())
